@@ -1,0 +1,35 @@
+"""Keys that hold a large share of all rows: found by a sketch, spread over slices."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A key is heavy from one row in HEAVY_SHARE; so there are at most HEAVY_SHARE heavy keys,
+#: whatever the size of the data: the bound of what is broadcast.
+HEAVY_SHARE = 512
+#: No slice of a heavy key has more than about one row in SLICE_SHARE.
+SLICE_SHARE = 2048
+#: Items that the sketch tracks; its error is below one row in 0.75 * TRACKED / 2.
+TRACKED = 8192
+
+
+def heavy_keys(df: DataFrame, key: Column | str) -> DataFrame:
+    """(heavy_key, n_slices): every key on at least one row in HEAVY_SHARE.
+
+    A mergeable frequent-items sketch: one pass, partial per task, a few
+    kilobytes to merge. Its counts only decide on how many slices a key is
+    spread, never on a result. Empty input gives no rows; null keys are no keys.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    counted = df.select(key.alias("k")).filter(F.col("k").isNotNull() & (F.col("k") != "")).agg(F.expr(f"approx_top_k(k, {HEAVY_SHARE}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
+    items = counted.select("n", F.explode("top").alias("t"))
+    return items.filter(F.col("t.count") * HEAVY_SHARE >= F.col("n")).select(
+        F.col("t.item").alias("heavy_key"), F.greatest(F.ceil(F.col("t.count") * SLICE_SHARE / F.col("n")), F.lit(2)).cast("int").alias("n_slices")
+    )
+
+
+def with_slice(df: DataFrame, heavy: DataFrame, key: str, spread_by: Column, name: str = "slice") -> DataFrame:
+    """Rows of heavy keys get a slice from 1, all others slice 0."""
+    joined = df.join(F.broadcast(heavy), F.col(key) == F.col("heavy_key"), "left")
+    return joined.withColumn(name, F.when(F.col("n_slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.col("n_slices")) + 1).cast("int")).drop("heavy_key", "n_slices")
