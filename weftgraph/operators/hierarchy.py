@@ -100,7 +100,7 @@ def hierarchy(links: DataFrame, with_path: bool = True, finish_links: int = FINI
     several parents of a node the smallest counts. An empty table gives no rows.
     """
     links = links.select("child", "parent").filter((F.col("child") != "") & (F.col("parent") != ""))
-    links = links.groupBy("child").agg(F.min("parent").alias("parent"))
+    links = cut(links.groupBy("child").agg(F.min("parent").alias("parent")))
     tops = links.select(F.col("parent").alias("child")).distinct().join(links, "child", "left_anti").withColumn("parent", F.lit(None).cast("string"))
     # One row for each node; own: nodes of its subtree that are peeled, itself included.
     active = cut(links.unionByName(tops).withColumn("own", F.lit(1).cast("bigint")))
