@@ -42,24 +42,34 @@ def collapse(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list
     raw = raw.groupBy(*raw_names).agg(F.min("row_id").alias("first_raw"), F.count(F.lit(1)).alias("n_raw"))
     canon = [plain_form(r) if i < len(plain_cols) else canonical_value(F.col(r)) for i, r in enumerate(raw_names)]
     raw = raw.withColumns(dict(zip(canon_names, canon)))
-    for c in canon_names[: len(plain_cols)]:
-        raw = raw.filter(F.col(c) != "")
+    whole = reduce(and_, [F.col(c) != "" for c in canon_names[: len(plain_cols)]])
+    raw = raw.filter(F.when(F.col("n_raw") > 0, whole))  # reads n_raw, so that it is not moved before the first grouping
     statements = raw.groupBy(*canon_names).agg(F.min("first_raw").alias("first_row"), F.sum("n_raw").alias("n_copies"))
     return statements, raw
 
 
+def _digest(cols: list[str]) -> list[Column]:
+    """128 bits of a row of texts, nulls told from empty ones."""
+    parts = [x for c in cols for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 71)]
+
+
 def copies(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list[str]) -> DataFrame:
     """(row_a, row_b): every row that is not the first of its statement, with the first.
 
-    Null-safe in value_cols; ties cannot arise as row_id is unique; an empty table
-    gives no rows.
+    Statements are grouped on whole texts; only their members are then looked up, by
+    128-bit digests of raw rows. Null-safe in value_cols; ties cannot arise as row_id
+    is unique; an empty table gives no rows.
     """
     cols = [*plain_cols, *value_cols]
     raw_names, canon_names = [f"r{i}" for i in range(len(cols))], [f"c{i}" for i in range(len(cols))]
     statements, raw = collapse(df, row_id, plain_cols, value_cols)
-    repeated = statements.filter(F.col("n_copies") > 1)
-    placed = raw.join(repeated, canon_names).select(F.col("first_row").alias("row_a"), *[F.col(r).alias(f"m{r}") for r in raw_names])
-    rows = df.select(F.col(row_id).alias("row_b"), *[F.col(c).alias(r) for c, r in zip(cols, raw_names)])
-    same = reduce(and_, [F.col(r).eqNullSafe(F.col(f"m{r}")) for r in raw_names])
-    # One row of placed for each different raw row: a heavy one is split on the side of the rows only (adaptive skew join).
-    return rows.join(placed, same).filter(F.col("row_a") != F.col("row_b")).select("row_a", "row_b")
+    digests = lambda names: dict(zip(("d1", "d2"), _digest(names)))
+    repeated = statements.filter(F.col("n_copies") > 1).withColumns(digests(canon_names)).select("d1", "d2", "first_row")
+    of_raw = dict(zip(("k1", "k2"), _digest(raw_names)))
+    # Different raw rows with other rows than the first one of their statement.
+    placed = raw.withColumns(digests(canon_names) | of_raw).select("d1", "d2", "k1", "k2", "first_raw", "n_raw").join(repeated, ["d1", "d2"])
+    placed = placed.filter((F.col("n_raw") > 1) | (F.col("first_raw") != F.col("first_row"))).select("k1", "k2", F.col("first_row").alias("row_a"))
+    rows = df.select(F.col(row_id).alias("row_b"), *[F.col(c).alias(r) for c, r in zip(cols, raw_names)]).select("row_b", *[v.alias(k) for k, v in of_raw.items()])
+    # placed has one row for each different raw row: a heavy one is split on the side of the rows only (adaptive skew join).
+    return rows.join(placed, ["k1", "k2"]).filter(F.col("row_a") != F.col("row_b")).select("row_a", "row_b")
