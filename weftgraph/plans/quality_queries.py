@@ -120,26 +120,27 @@ select k as node_key, x as descendant_key, distance from r"""
 
 
 def _source_levels() -> list[nested.Level]:
-    """The visitor of edges.sources: resource_key, role_key; for upstream ids also the position of the source they came from."""
-
-    def plain(x: Column) -> Column:
-        return plain_form(x)
+    """The visitor of sources, whose texts are plain already; upstream ids get the position of the source they came from."""
 
     def source(above: list[Column], at: list[Column]) -> dict[str, Column]:
         x = above[-1]
-        n_up = F.size(F.filter(F.coalesce(x["upstream_resource_ids"], F.array()), lambda u: u.isNotNull()))
-        return {"resource_key": plain(x["resource_id"]), "role_key": plain(x["resource_role"]), "n_upstream": n_up}
+        return {"resource_key": x["r"], "role_key": x["o"], "n_upstream": F.size(F.array_compact(x["u"]))}
 
     def upstream(above: list[Column], at: list[Column]) -> dict[str, Column]:
         x, u = above
-        return {"resource_key": plain(x["resource_id"]), "role_key": plain(x["resource_role"]), "parent_pos": F.array_position(F.col("source_keys"), plain(u)) - 1}
+        return {"resource_key": x["r"], "role_key": x["o"], "parent_pos": F.array_position(F.col("keys"), u) - 1}
 
-    return [nested.Level("source", lambda above: F.col("sources"), source, [nested.Level("upstream", lambda above: above[-1]["upstream_resource_ids"], upstream)])]
+    return [nested.Level("source", lambda above: F.col("sources"), source, [nested.Level("upstream", lambda above: above[-1]["u"], upstream)])]
 
 
 def _tagged_sources(spark: SparkSession, d: str) -> DataFrame:
-    keys = F.transform("sources", lambda x: F.when(x.isNotNull(), plain_form(x["resource_id"])))
-    return nested.emit_tagged(_table(spark, d, "edges").select("edge_row", "sources", keys.alias("source_keys")), "edge_row", _source_levels())
+    def plain_or_null(c: Column) -> Column:
+        return F.when(c.isNotNull(), plain_form(c))
+
+    # Every text is brought to its plain form once, before the visit.
+    once = F.transform("sources", lambda x: F.when(x.isNotNull(), F.struct(plain_form(x["resource_id"]).alias("r"), plain_form(x["resource_role"]).alias("o"), F.coalesce(F.transform(x["upstream_resource_ids"], plain_or_null), F.array().cast("array<string>")).alias("u"))))
+    plain = _table(spark, d, "edges").select("edge_row", once.alias("sources")).withColumn("keys", F.transform("sources", lambda x: x["r"]))
+    return nested.emit_tagged(plain, "edge_row", _source_levels())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
