@@ -144,3 +144,21 @@ def test_random_graphs_against_brute_force(spark, seed):
     r = lookup(kg, query, subclass=False)
     got = {(tuple((n, x[f"n_{n}"]) for n in "abc"), tuple((x[f"e_{k}"], x[f"v_{k}"]) for k in ("e0", "e1", "e2"))) for x in r.paths.collect()}
     assert got == _brute(edges, ONTOLOGY, query)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from small_graph import HYP, MET
+
+    from weftgraph.cli import main
+
+    (tmp_path / "e").write_text("\n".join(map(json.dumps, raw_edges())))
+    (tmp_path / "n").write_text("\n".join(map(json.dumps, raw_nodes())))
+    g = str(tmp_path / "g")
+    assert main(["build", "--edges", str(tmp_path / "e"), "--nodes", str(tmp_path / "n"), "--output", g]) == 0
+    (tmp_path / "q").write_text(json.dumps({"message": {"query_graph": {"nodes": {"a": {"ids": [MET]}, "b": {}}, "edges": {"e": {"subject": "a", "object": "b", "predicates": ["biolink:treats"]}}}}}))
+    assert main(["query", g, str(tmp_path / "q"), "--output", str(tmp_path / "a")]) == 0
+    assert len(json.loads((tmp_path / "a").read_text())["message"]["results"]) == 2
+    capsys.readouterr()
+    assert main(["paths", g, MET, HYP, "--with-properties", "--output", str(tmp_path / "p")]) == 0
+    assert '"num_paths": 4' in capsys.readouterr().out
+    assert main(["diagnose", g, MET, HYP]) == 0 and '"n_paths": 4' in capsys.readouterr().out
