@@ -120,6 +120,17 @@ def test_hierarchies_against_brute_force(spark, seed, finish):
     assert all(d[n] == k for n, _, _, k, s in _forest(parent) if s == "ok")
 
 
+def test_long_chain_and_large_cycle_are_doubled(spark, monkeypatch):
+    """Chains hardly get shorter by rounds, cycles not at all."""
+    parent = {f"a{i}": f"a{i + 1}" for i in range(200)} | {f"b{i}": f"b{(i + 1) % 70}" for i in range(70)} | {f"h{i}": f"b{i}" for i in range(3)} | {"h9": "h0", "t": "a150"}
+    seen = []
+    real = hierarchy._doubled
+    monkeypatch.setattr(hierarchy, "_doubled", lambda *a: seen.append(1) or real(*a))
+    t = hierarchy.hierarchy(spark.createDataFrame(list(parent.items()), "child string, parent string"), finish_links=10)
+    assert rows(t.select("node", "root", "depth", "n_desc", "state")) == _forest(parent) and seen == [1]
+    assert len(t.filter("node = 'a0'").first()["path"]) == 201
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "child string, parent string")).count() == 0
 

@@ -7,9 +7,9 @@ a cycle.
 
 A round over all links is one shuffle, so peeling goes on in distributed rounds
 only while more than FINISH_LINKS links are left; the rest, whose size has then
-been counted, is peeled to its end by one task. Every level of a hierarchy
-peels at least its leaves, so the rounds are few however deep the chains are
-that stay; those are what the last task is for.
+been counted, is peeled to its end by one task. Where rounds take hardly anything
+away, long chains or large cycles are left: too many for one task and too deep for
+rounds, they are finished by doubling the way up, in the log of their depth.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from weftgraph.operators.durable import cut
 FINISH_LINKS = 50_000
 #: Distributed rounds between two counts of what is left.
 ROUNDS_AT_ONCE = 3
+#: Peeling is given up if so many rounds leave more than this share.
+STALLED = 0.9
 
 _TOP = "node string, root string, depth int, path array<string>, n_desc bigint, state string"
 
@@ -116,9 +118,8 @@ def hierarchy(links: DataFrame, with_path: bool = True, finish_links: int = FINI
             peeled.append(both.filter("leaf").drop("leaf"))
             active = both.filter(~F.col("leaf")).drop("leaf")
         before, left = left, active.count()
-        if left == before:
-            # Nothing peels any more and it does not fit one task: cycles of that many nodes.
-            return _with_peeled(_rings(active), peeled, with_path)
+        if left > finish_links and left > STALLED * before:
+            return _with_peeled(_doubled(active, left, with_path), peeled, with_path)
     done = active.coalesce(1).mapInPandas(_finish(with_path), _TOP)
     return _with_peeled(done, peeled, with_path)
 
@@ -147,6 +148,50 @@ def _with_peeled(done: DataFrame, peeled: list[DataFrame], with_path: bool) -> D
     return out
 
 
+def _doubled(active: DataFrame, n: int, with_path: bool) -> DataFrame:
+    """Root, depth, path, subtree size and state of n nodes (child, parent, own) in log2(n) rounds.
+
+    After k rounds `far` is the ancestor 2^k steps up, `size` what hangs below in fewer
+    than 2^k steps: those at least 2^k steps below are what nodes with this one as
+    `far` have below them. What still has a `far` then is on a cycle or below one.
+    """
+    st = cut(active.select("child", "parent", "own", F.col("parent").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"), F.col("child").alias("top"), F.col("own").alias("size")))
+    reach = 1
+    while reach <= n:
+        up = st.select(F.col("child").alias("far"), F.col("far").alias("far2"), F.col("steps").alias("steps2"), F.col("top").alias("top2"))
+        got = st.filter(F.col("far").isNotNull()).groupBy(F.col("far").alias("child")).agg(F.sum("size").alias("got"))
+        on = F.col("far").isNotNull()
+        st = cut(
+            st.join(up, "far", "left").join(got, "child", "left").select(
+                "child", "parent", "own", F.col("far2").alias("far"), F.when(on, F.col("steps") + F.col("steps2")).otherwise(F.col("steps")).alias("steps"),
+                F.when(on, F.col("top2")).otherwise(F.col("top")).alias("top"), (F.col("size") + F.coalesce("got", F.lit(0))).alias("size"),
+            )
+        )
+        reach *= 2
+        if st.filter(F.col("far").isNotNull()).isEmpty():
+            break
+    null = F.lit(None).cast("array<string>")
+    ok = st.filter(F.col("far").isNull())
+    ok = _ways_up(ok) if with_path else ok.withColumn("path", null)
+    ok = ok.select(F.col("child").alias("node"), F.col("top").alias("root"), F.col("steps").alias("depth"), "path", (F.col("size") - 1).alias("n_desc"), F.lit("ok").alias("state"))
+    rest = st.filter(F.col("far").isNotNull()).select("child", "parent", "own", "size", "far")
+    on_cycle = cut(rest.select(F.col("far").alias("child")).distinct())
+    below = rest.join(on_cycle, "child", "left_anti")
+    hanging = below.groupBy(F.col("parent").alias("child")).agg(F.sum("size").alias("hangs"))
+    ring = rest.join(on_cycle, "child", "left_semi").join(hanging, "child", "left").select("child", "parent", (F.col("own") + F.coalesce("hangs", F.lit(0))).alias("own"))
+    lost = below.select(F.col("child").alias("node"), F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("path"), (F.col("size") - 1).alias("n_desc"), F.lit("below_cycle").alias("state"))
+    return ok.unionByName(lost).unionByName(_rings(ring))
+
+
+def _ways_up(nodes: DataFrame) -> DataFrame:
+    """nodes (child, parent, ..., none of them on or below a cycle) with path, from the root down, by doubling."""
+    st = cut(nodes.select("child", F.col("parent").alias("far"), F.array("child").alias("path")))
+    while not st.filter(F.col("far").isNotNull()).isEmpty():
+        up = st.select(F.col("child").alias("far"), F.col("far").alias("far2"), F.col("path").alias("path2"))
+        st = cut(st.join(up, "far", "left").select("child", F.col("far2").alias("far"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "path").alias("path")))
+    return nodes.join(st.select("child", "path"), "child")
+
+
 def _rings(active: DataFrame) -> DataFrame:
     """Nodes of cycles only: each ring by its smallest node, found by doubling the way ahead."""
     step = cut(active.select("child", "own", F.col("parent").alias("to"), F.least("child", "parent").alias("low")))
@@ -154,7 +199,7 @@ def _rings(active: DataFrame) -> DataFrame:
         ahead = step.select(F.col("child").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
         moved = cut(step.join(ahead, "to").select("child", "own", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
         step = moved.drop("changed")
-        if not moved.filter("changed").limit(1).count():
+        if moved.filter("changed").isEmpty():
             break
     sizes = step.groupBy("low").agg((F.sum("own") - 1).alias("n_desc"))
     null = F.lit(None).cast("array<string>")
