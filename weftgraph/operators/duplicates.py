@@ -31,9 +31,9 @@ def collapse(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list
     """(statements, raw): each statement once with its copies; each different raw row with its statement.
 
     statements: c0.. (canonical texts), first_row (smallest row_id), n_copies.
-    raw: r0.. (raw columns), first_row, n_copies (of the whole statement), n_raw.
+    raw: r0.. (raw columns), c0.., first_raw (smallest row_id), n_raw.
     Rows whose plain_cols do not all have a non-empty plain form are no statements
-    and are left out. Both groupings combine on the map side: a third of all rows
+    and are left out of statements. Both groupings combine on the map side: a third of all rows
     being copies of one costs one row per task.
     """
     cols = [*plain_cols, *value_cols]
@@ -42,9 +42,10 @@ def collapse(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list
     raw = raw.groupBy(*raw_names).agg(F.min("row_id").alias("first_raw"), F.count(F.lit(1)).alias("n_raw"))
     canon = [plain_form(r) if i < len(plain_cols) else canonical_value(F.col(r)) for i, r in enumerate(raw_names)]
     raw = raw.withColumns(dict(zip(canon_names, canon)))
-    whole = reduce(and_, [F.col(c) != "" for c in canon_names[: len(plain_cols)]])
-    raw = raw.filter(F.when(F.col("n_raw") > 0, whole))  # reads n_raw, so that it is not moved before the first grouping
     statements = raw.groupBy(*canon_names).agg(F.min("first_raw").alias("first_row"), F.sum("n_raw").alias("n_copies"))
+    whole = reduce(and_, [F.col(c) != "" for c in canon_names[: len(plain_cols)]])
+    # Reads n_copies, so that it is not moved before the groupings and worked out twice.
+    statements = statements.filter(F.when(F.col("n_copies") > 0, whole))
     return statements, raw
 
 
