@@ -110,6 +110,16 @@ def test_information_filter_also_tests_the_closing_pin(kg):
     assert bound(kg, q({"g": "Gene", "d": [T2D]}, ("g", "gene_associated_with_condition", "d")), "g", filter_config={"min_information_content": 90}) == {PPARG}
 
 
+def test_adaptive_plans_find_the_same(kg, monkeypatch):
+    from weftgraph.operators import lookup as module
+
+    for most in (2_000, 1):
+        monkeypatch.setattr(module, "LITERAL_IDS", most)
+        for query in (TWO, q({"p": [HYP], "d": [DM]}, ("p", "related_to", "d"))):
+            a, b = lookup(kg, query), lookup(kg, query, adaptive=True)
+            assert a.edge_bindings().exceptAll(b.edge_bindings()).count() == 0 and a.results.count() == b.results.count() > 0
+
+
 def test_all_and_collate(kg):
     query = lambda ids: q({"g": {"ids": ids, "set_interpretation": "ALL"}, "d": "Disease"}, ("g", "gene_associated_with_condition", "d"))
     r = lookup(kg, query([PPARG, INSR]), subclass=False)

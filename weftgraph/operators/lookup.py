@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import KnowledgeGraph
 from weftgraph.operators.durable import cut
-from weftgraph.operators.match import match_edge, match_subclass, nodes_allowed
+from weftgraph.operators.match import LITERAL_IDS, match_edge, match_subclass, nodes_allowed
 from weftgraph.plans import planner
 from weftgraph.plans.ir import BadQuery, QEdge, QueryGraph, parse
 from weftgraph.plans.rewrite import expand_subclasses
@@ -185,9 +185,10 @@ def _fold(kg: KnowledgeGraph, q: QueryGraph, order: list[QEdge], depth: int, max
     return paths
 
 
-def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict, max_paths: int) -> DataFrame:
+def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict | None, max_paths: int) -> DataFrame:
     """Edge by edge with the ids found so far: each match is kept, its ids narrow both its nodes.
 
+    Up to LITERAL_IDS found ids become conditions on the next scan, more are joined.
     Filters test unbound nodes when they are discovered, and both ends of an edge
     whose ends are both bound.
     """
@@ -212,8 +213,9 @@ def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict, max_
                     m = m.join(allowed.select(F.col("id").alias(col)), col, "left_semi").select("s", "o", "edge_idx", "predicate", "via_inverse")
         m = cut(m)
         for n, col in ((e.subject, "s"), (e.object, "o")):
-            ids = m.select(F.col(col).alias("id")).distinct()
-            pins[n], counts[n] = ids, ids.count()
+            ids = cut(m.select(F.col(col).alias("id")).distinct())
+            first = [r["id"] for r in ids.limit(LITERAL_IDS + 1).collect()]
+            pins[n], counts[n] = (first, len(first)) if len(first) <= LITERAL_IDS else (ids, ids.count())
         matches[e.key] = _columns(m, e)
         order.append(e)
         del left.edges[e.key]
@@ -233,14 +235,16 @@ def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict, max_
 
 def lookup(
     kg: KnowledgeGraph, query_graph: dict | QueryGraph, subclass: bool = True, subclass_depth: int = 1, filter_config: dict | None = None,
-    dehydrated: bool | None = False, max_paths: int = 0, allow_full_scan: bool = False, allow_product: bool = False,
+    dehydrated: bool | None = False, max_paths: int = 0, adaptive: bool = False, allow_full_scan: bool = False, allow_product: bool = False,
 ) -> LookupResult:
     """All answers of a pattern.
 
     Pinned nodes also match what lies at most subclass_depth below their ids. A
     pattern without edges has no answers; one that is not connected, or reaches no
     ids, is refused unless allowed. max_paths cuts intermediate paths in the order
-    of their edges (0: no limit). dehydrated None decides by the number of paths.
+    of their edges (0: no limit). adaptive matches edge by edge, so that few ids found
+    on one narrow the scan of the next: for selective patterns over very large graphs;
+    the answer is the same. dehydrated None decides by the number of paths.
     """
     q = query_graph if isinstance(query_graph, QueryGraph) else parse(query_graph)
     q = q.without_orphans()
@@ -252,7 +256,7 @@ def lookup(
     order = planner.join_order(q, allow_product)
     planner.check_pinned(q, order, allow_full_scan)
     filters = filter_config if node_condition(filter_config) is not None else None
-    paths = _adaptive(kg, q, subclass_depth, filters, max_paths) if filters else _fold(kg, q, order, subclass_depth, max_paths)
+    paths = _adaptive(kg, q, subclass_depth, filters, max_paths) if filters or adaptive else _fold(kg, q, order, subclass_depth, max_paths)
     out = LookupResult(kg, q, paths, bool(dehydrated))
     keys = [F.concat(F.lit(f"{k}="), out.bound(k)) for k in sorted(out.key_nodes)]
     out.paths = paths.withColumn("result_id", F.md5(F.concat_ws("\x1f", *keys)) if keys else F.md5(F.lit("")))

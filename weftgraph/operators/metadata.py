@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import id_prefix
 from weftgraph.graph import KnowledgeGraph
+from weftgraph.operators.paths import one_row
 from weftgraph.schema import FALLBACK_CATEGORY
 
 
@@ -92,7 +93,7 @@ def graph_stats(kg: KnowledgeGraph) -> DataFrame:
     """One row: nodes, edges, predicates, mean and largest out-degree over all nodes."""
     e = kg.edges.agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("predicate").alias("n_predicates"))
     d = kg.nodes_with_degrees().agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("out_degree").alias("avg_out_degree"), F.max("out_degree").alias("max_out_degree"))
-    return e.crossJoin(d)  # one row each
+    return one_row(e, d)
 
 
 def graph_metadata(kg: KnowledgeGraph) -> DataFrame:

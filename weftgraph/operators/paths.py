@@ -88,6 +88,14 @@ def two_hop_multiplicity(kg: KnowledgeGraph, start: str) -> DataFrame:
     return hop1.join(e.select(F.col("subject").alias("n1"), F.col("object").alias("n2")), "n1").groupBy("n2").agg(F.sum("k1").alias("ways"))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, in one row."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def explosion_report(kg: KnowledgeGraph, start: str, end: str) -> DataFrame:
     """One row: degrees, nodes two hops away, their overlap with the neighbours of end, how many ways lead to one, paths."""
     e = kg.edges
@@ -96,8 +104,7 @@ def explosion_report(kg: KnowledgeGraph, start: str, end: str) -> DataFrame:
     overlap = ways.join(ends, "n2", "left_semi").agg(F.count(F.lit(1)).alias("middle_nodes"))
     stats = ways.agg(F.count(F.lit(1)).alias("two_hop_nodes"), F.avg("ways").alias("avg_ways"), F.max("ways").alias("max_ways"), F.median("ways").alias("median_ways"))
     deg = e.agg(F.count(F.when(F.col("subject") == start, 1)).alias("start_degree"), F.count(F.when(F.col("subject") == end, 1)).alias("end_degree"))
-    one = lambda a, b: a.crossJoin(b)  # noqa: E731  # one row each
-    return one(one(one(deg, stats), overlap), path_count(kg, start, end)).withColumn("overlap_percent", F.col("middle_nodes") * 100.0 / F.greatest("two_hop_nodes", F.lit(1)))
+    return one_row(deg, stats, overlap, path_count(kg, start, end)).withColumn("overlap_percent", F.col("middle_nodes") * 100.0 / F.greatest("two_hop_nodes", F.lit(1)))
 
 
 def top_middle_nodes(kg: KnowledgeGraph, start: str, end: str, k: int = 10) -> DataFrame:
