@@ -60,12 +60,15 @@ def meta_nodes(kg: KnowledgeGraph) -> DataFrame:
 
 def meta_edges(kg: KnowledgeGraph) -> DataFrame:
     """(triple of categories, attributes, qualifiers): what its edges' attributes are called, and the values of their qualifiers."""
-    e = with_categories(kg, kg.edges.select("edge_idx", "subject", "predicate", "object", "qualifiers"))
-    q = e.select(*TRIPLE, F.explode("qualifiers").alias("q")).filter(F.col("q.qualifier_type_id").isNotNull())
-    q = q.groupBy(*TRIPLE, F.col("q.qualifier_type_id").alias("t")).agg(F.array_sort(F.collect_set("q.qualifier_value")).alias("v"))
-    q = q.groupBy(*TRIPLE).agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("qualifier_type_id"), F.col("v").alias("applicable_values")))).alias("qualifiers"))
-    a = _descriptors(e.select("edge_idx", *TRIPLE).join(kg.edge_attributes, "edge_idx"), TRIPLE)
-    return e.select(*TRIPLE).distinct().join(a, TRIPLE, "left").join(q, TRIPLE, "left")
+    e = kg.edges.select("edge_idx", "subject", "predicate", "object", "qualifiers")
+    kinds = F.transform(F.filter("attributes", lambda a: F.coalesce(a["original_attribute_name"], F.lit("")) != ""), lambda a: F.struct(*[a[c].alias(c) for c in ("attribute_type_id", "attribute_source", "original_attribute_name")]))
+    e = with_categories(kg, e.join(kg.edge_attributes.select("edge_idx", kinds.alias("kinds")), "edge_idx", "left"))
+    # Few different lists of attribute kinds and qualifiers are left of any number of edges; their elements are taken apart after that.
+    g = e.groupBy(*TRIPLE).agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("a"), F.array_distinct(F.flatten(F.collect_set("qualifiers"))).alias("q"))
+    q = F.filter("q", lambda x: x["qualifier_type_id"].isNotNull())
+    types = F.array_sort(F.array_distinct(F.transform(q, lambda x: x["qualifier_type_id"])))
+    values = F.transform(types, lambda t: F.struct(t.alias("qualifier_type_id"), F.array_sort(F.array_compact(F.transform(F.filter(q, lambda x: x["qualifier_type_id"] == t), lambda x: x["qualifier_value"]))).alias("applicable_values")))
+    return g.select(*TRIPLE, F.array_sort("a").alias("attributes"), values.alias("qualifiers"))
 
 
 def meta_kg(kg: KnowledgeGraph) -> dict:

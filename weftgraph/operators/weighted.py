@@ -8,7 +8,7 @@ so that no task holds the rows of a heavy key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,7 @@ def modes(weighted: DataFrame, keys: list[str]) -> DataFrame:
     return weighted.filter(F.col("value").isNotNull()).groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias("mode"), (-F.col("b.w")).alias("mode_rows"))
 
 
-def percentiles(weighted: DataFrame, keys: list[str], q: float, bins: int = 256) -> DataFrame:
+def percentiles(weighted: DataFrame, keys: list[str], q: float, bins: int = 64) -> DataFrame:
     """(keys, percentile): the smallest value that at least the share q of a key's rows do not exceed (null values count for nothing).
 
     Exact. Split points over all values (at most `bins`, the only thing that is
@@ -39,8 +39,15 @@ def percentiles(weighted: DataFrame, keys: list[str], q: float, bins: int = 256)
     weighted = weighted.filter(F.col("value").isNotNull())
     splits = weighted.agg(F.percentile_approx("value", [i / bins for i in range(1, bins)], 10_000).alias("s")).first()["s"] or []
     splits = sorted(set(splits))
-    at = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<double>")
-    binned = weighted.withColumn("bin", F.size(F.filter(at, lambda s: s < F.col("value"))))
+
+    def bin_of(lo: int, hi: int) -> Column:
+        """How many of splits[lo:hi] lie below the value, and lo; by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("value") <= splits[mid], bin_of(lo, mid)).otherwise(bin_of(mid + 1, hi))
+
+    binned = weighted.withColumn("bin", bin_of(0, len(splits)))
     w = Window.partitionBy(*keys).orderBy("bin")
     per_bin = binned.groupBy(*keys, "bin").agg(F.sum("weight").alias("bw"))
     upto = per_bin.withColumns({"upto": F.sum("bw").over(w), "total": F.sum("bw").over(Window.partitionBy(*keys))})
