@@ -154,22 +154,27 @@ def flood(old: dict[str, int], new: dict[str, int], start: dict[tuple[str, str],
     return {p: float(s[i]) for p, i in index.items()}
 
 
-def _sides(g: pd.DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    side = lambda k: {p: int(t) for p, t, s in zip(g["path"], g["types"], g["side"]) if s == k and p}
-    return side("old"), side("new")
+_PAIR = ["feed", "pair_no"]
 
 
-def _candidates(g: pd.DataFrame) -> pd.DataFrame:
-    old, new = _sides(g)
-    _, gone, come = _eligible(old, new)
-    r = g.iloc[0]
-    return pd.DataFrame([(r["feed"], r["pair_no"], o, n) for o, n in _pairs(old, new, gone, come)], columns=["feed", "pair_no", "old_path", "new_path"])
+def _fields(rows) -> dict[str, int]:
+    return {r["path"]: int(r["types"]) for r in rows if r["path"]}
 
 
-def _changes(g: pd.DataFrame) -> pd.DataFrame:
-    old, new = _sides(g)
+def _candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fields of two files that may be one renamed: feed, pair_no, the files and both paths."""
+    for p in parts:
+        rows = []
+        for feed, no, old_file, new_file, o, n in zip(p["feed"], p["pair_no"], p["old_file"], p["new_file"], p["old"], p["new"]):
+            old, new = _fields(o), _fields(n)
+            _, gone, come = _eligible(old, new)
+            rows += [(feed, no, old_file, new_file, *pair) for pair in _pairs(old, new, gone, come)]
+        yield pd.DataFrame(rows, columns=[*_PAIR, "old_file", "new_file", "old_path", "new_path"])
+
+
+def compare(old: dict[str, int], new: dict[str, int], shared: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, str]]:
+    """(change_kind, old_path, new_path) of two schemas; shared: different values of the new field that the old one has, and all."""
     changed, gone, come = _eligible(old, new)
-    shared = {(o, n): (c, k) for o, n, c, k, s in zip(g["path"], g["new_path"], g["common"], g["n_new"], g["side"]) if s == "shared"}
     start = {(p, p): 1.0 for p in old if p in new}
     for o, n in _pairs(old, new, gone, come):
         c, k = shared.get((o, n), (0, 0))
@@ -181,9 +186,16 @@ def _changes(g: pd.DataFrame) -> pd.DataFrame:
         if k and c >= LEAST_SHARED * k and o not in renamed and n not in renamed.values():
             renamed[o] = n
     rows = [("type_changed", p, p) for p in changed] + [("renamed", o, n) for o, n in renamed.items()]
-    rows += [("removed", p, "") for p in gone if p not in renamed] + [("added", "", p) for p in come if p not in renamed.values()]
-    r = g[g["side"] == "new"].iloc[0]
-    return pd.DataFrame([(r["feed"], r["pair_no"], r["file_id"], *x) for x in rows], columns=["feed", "file_no", "file_id", "change_kind", "old_path", "new_path"])
+    return rows + [("removed", p, "") for p in gone if p not in renamed] + [("added", "", p) for p in come if p not in renamed.values()]
+
+
+def _changes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        rows = []
+        for feed, no, fid, o, n, shared in zip(p["feed"], p["pair_no"], p["new_file"], p["old"], p["new"], p["shared"]):
+            common = {(x["old_path"], x["new_path"]): (int(x["common"]), int(x["n_new"])) for x in ([] if shared is None else shared)}
+            rows += [(feed, no, fid, *x) for x in compare(_fields(o), _fields(n), common)]
+        yield pd.DataFrame(rows, columns=["feed", "file_no", "file_id", "change_kind", "old_path", "new_path"])
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -194,18 +206,14 @@ def changes(lines: DataFrame) -> DataFrame:
     nothing, and a file of only such lines is no file. The first file of a feed has
     no changes; an empty table gives no rows.
     """
-    fields = cut(profile(lines))
-    files = fields.filter(F.col("path") == "").select(*_FILE)
-    pairs = files.withColumn("pair_no", F.lead("file_no").over(Window.partitionBy("feed").orderBy("file_no", "file_id"))).filter(F.col("pair_no").isNotNull())
-    has_before = pairs.select("feed", F.col("pair_no").alias("file_no"))
-    new = fields.join(has_before, ["feed", "file_no"]).select("feed", F.col("file_no").alias("pair_no"), "file_id", "path", "types", F.lit("new").alias("side"))
-    old = fields.join(pairs, _FILE).select("feed", "pair_no", "file_id", "path", "types", F.lit("old").alias("side"))
-    both = cut(new.unionByName(old))
-    # Only pairs of files with a field gone or new have candidates.
-    cands = cut(both.groupBy("feed", "pair_no").applyInPandas(_candidates, "feed string, pair_no int, old_path string, new_path string"))
-    wanted = cands.select("feed", "pair_no", F.lit("old").alias("side"), F.col("old_path").alias("path")).unionByName(cands.select("feed", "pair_no", F.lit("new").alias("side"), F.col("new_path").alias("path")))
-    of_file = both.filter(F.col("path") == "").select("feed", "pair_no", "side", "file_id")
-    wanted = wanted.distinct().join(of_file, ["feed", "pair_no", "side"]).groupBy("feed", "file_id").agg(F.collect_list(F.struct("pair_no", "side", "path")).alias("wanted"))
+    # One row for each file with all its fields: as many as its schema has, whatever its lines.
+    files = profile(lines).groupBy(*_FILE).agg(F.array_sort(F.collect_list(F.struct("path", "types"))).alias("new"))
+    w = Window.partitionBy("feed").orderBy("file_no", "file_id")
+    pairs = files.withColumns({"old": F.lag("new").over(w), "old_file": F.lag("file_id").over(w)}).filter(F.col("old") != F.col("new"))
+    differ = cut(pairs.select("feed", F.col("file_no").alias("pair_no"), "old_file", F.col("file_id").alias("new_file"), "old", "new"))
+    cands = cut(differ.mapInPandas(_candidates, "feed string, pair_no int, old_file string, new_file string, old_path string, new_path string"))
+    want = lambda side: cands.select("feed", F.col(f"{side}_file").alias("file_id"), F.struct("pair_no", F.lit(side).alias("side"), F.col(f"{side}_path").alias("path")).alias("w"))
+    wanted = want("old").unionByName(want("new")).groupBy("feed", "file_id").agg(F.collect_set("w").alias("wanted"))
 
     def values(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -225,14 +233,13 @@ def changes(lines: DataFrame) -> DataFrame:
     # Spark broadcasts `wanted` only if it is below its own size limit.
     found = lines.select("feed", "file_id", "payload").join(wanted, ["feed", "file_id"]).mapInPandas(values, "feed string, pair_no int, side string, path string, value binary")
     found = found.distinct()
-    new_values = found.filter(F.col("side") == "new").select("feed", "pair_no", F.col("path").alias("new_path"), "value").join(cands, ["feed", "pair_no", "new_path"])
-    old_values = found.filter(F.col("side") == "old").select("feed", "pair_no", F.col("path").alias("old_path"), "value", F.lit(1).alias("hit"))
-    shared = new_values.join(old_values, ["feed", "pair_no", "old_path", "value"], "left").groupBy("feed", "pair_no", "old_path", "new_path").agg(F.count("hit").alias("common"), F.count(F.lit(1)).alias("n_new"))
-    none = F.lit(None)
-    rows = both.withColumns({"new_path": none.cast("string"), "common": none.cast("bigint"), "n_new": none.cast("bigint")}).unionByName(
-        shared.select("feed", "pair_no", none.cast("string").alias("file_id"), F.col("old_path").alias("path"), none.cast("int").alias("types"), F.lit("shared").alias("side"), "new_path", "common", "n_new")
-    )
-    return rows.groupBy("feed", "pair_no").applyInPandas(_changes, "feed string, file_no int, file_id string, change_kind string, old_path string, new_path string")
+    paths = cands.select(*_PAIR, "old_path", "new_path")
+    new_values = found.filter(F.col("side") == "new").select(*_PAIR, F.col("path").alias("new_path"), "value").join(paths, [*_PAIR, "new_path"])
+    old_values = found.filter(F.col("side") == "old").select(*_PAIR, F.col("path").alias("old_path"), "value", F.lit(1).alias("hit"))
+    shared = new_values.join(old_values, [*_PAIR, "old_path", "value"], "left").groupBy(*_PAIR, "old_path", "new_path").agg(F.count("hit").alias("common"), F.count(F.lit(1)).alias("n_new"))
+    shared = shared.groupBy(*_PAIR).agg(F.collect_list(F.struct("old_path", "new_path", "common", "n_new")).alias("shared"))
+    both = differ.join(shared, _PAIR, "left").select(*_PAIR, "new_file", "old", "new", "shared")
+    return both.mapInPandas(_changes, "feed string, file_no int, file_id string, change_kind string, old_path string, new_path string")
 
 
 def canonical_names(found: DataFrame) -> DataFrame:
