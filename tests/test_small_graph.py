@@ -178,6 +178,7 @@ def test_dehydrated_answers_have_the_same_bindings(kg):
     a, b = lookup(kg, TWO), lookup(kg, TWO, dehydrated=True)
     assert a.node_bindings.exceptAll(b.node_bindings).count() == 0
     m = response.assemble(b, TWO)["message"]
+    assert all(validate.is_connected(r, m) for r in m["results"])
     assert all(set(e) == {"subject", "predicate", "object"} for e in m["knowledge_graph"]["edges"].values())
     assert m["knowledge_graph"]["nodes"][MET]["categories"] == [B + "SmallMolecule"]
 
@@ -213,6 +214,24 @@ def test_refused_patterns(kg):
     assert lookup(kg, {"nodes": {"a": {"ids": [MET]}}, "edges": {}}).paths.count() == 0
 
 
+def test_what_is_refused_can_be_allowed(kg):
+    p = lookup(kg, q({"a": {}, "b": {}}, ("a", "has_phenotype", "b")), subclass=False, allow_full_scan=True).paths
+    assert [(r["n_a"], r["n_b"]) for r in p.collect()] == [(T2D, HYP)]
+    apart = q({"a": [GLU], "b": {}, "c": [T2D], "d": {}}, ("a", "participates_in", "b"), ("c", "has_phenotype", "d"))
+    assert lookup(kg, apart, subclass=False, allow_product=True).paths.count() == 1
+
+
+def test_bucketed_copies(kg, spark):
+    kg.save_bucketed("small_edges", 2)
+    try:
+        for end in ("subject", "object"):
+            plan = spark.table(f"small_edges_by_{end}").groupBy(end).count()
+            assert plan.count() == kg.edges.select(end).distinct().count() and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString().replace("SinglePartition", "")
+    finally:
+        for end in ("subject", "object"):
+            spark.sql(f"drop table small_edges_by_{end}")
+
+
 def test_self_loop_and_cap(kg):
     assert n_results(kg, q({"a": [MET]}, ("a", None, "a"))) == 0
     assert lookup(kg, AFFECTS, subclass=False, max_paths=2).paths.count() == 2

@@ -28,6 +28,12 @@ class KnowledgeGraph:
     edge_attributes: DataFrame
     ontology: Ontology = field(default_factory=Ontology)
     metadata: dict[str, Any] = field(default_factory=dict)
+    #: Node records on their own, also of ids that no edge mentions: what is joined to matches needs no look at all edges first.
+    records: DataFrame | None = None
+
+    @property
+    def node_records(self) -> DataFrame:
+        return self.nodes if self.records is None else self.records
 
     @cached_property
     def degrees(self) -> DataFrame:

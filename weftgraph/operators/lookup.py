@@ -139,7 +139,7 @@ class LookupResult:
     def kg_nodes(self) -> DataFrame:
         """Nodes of bindings and of kept edges; dehydrated: name and most specific category only."""
         ids = self.node_bindings.select("id").union(self.kg_edges().select(F.explode(F.array("subject", "object")))).distinct()
-        found = ids.join(self.kg.nodes, "id", "left")
+        found = ids.join(self.kg.node_records, "id", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
         if self.dehydrated:
             return found.select("id", "name", F.array(most_specific(self.kg, F.col("categories"))).alias("categories"))
         return found.select("id", "name", "categories", "attributes")

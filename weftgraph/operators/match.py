@@ -46,7 +46,9 @@ def _semi(df: DataFrame, end: str, pins: Pins) -> DataFrame:
 def nodes_allowed(kg: KnowledgeGraph, node: QNode, pinned: bool, filters: dict | None = None) -> DataFrame | None:
     """Ids that a pattern node may take, or None if all: categories count for unpinned nodes only, attributes always."""
     tests: list[Column] = []
-    source = kg.nodes
+    # What a node without a record passes, too, has to be asked of all nodes.
+    passes_empty = any(c.get("not") for c in node.constraints) and not (node.categories and not pinned)
+    source = kg.nodes if passes_empty else kg.node_records
     if node.categories and not pinned:
         tests.append(has_category(F.col("categories"), node.categories))
     condition = plugins.node_condition(filters)
@@ -103,9 +105,9 @@ def match_subclass(kg: KnowledgeGraph, top_pins: Pins, depth: int) -> DataFrame:
     sub = kg.ontology.subclass_of
     null = F.lit(None).cast(kg.edges.schema["edge_idx"].dataType)
     if isinstance(top_pins, list):
-        tops = kg.nodes.filter(F.col("id").isin(top_pins)).select("id")
+        tops = kg.spark.createDataFrame([(i,) for i in top_pins], "id string")  # unknown ones meet no edge
     else:
-        tops = kg.nodes.select("id") if top_pins is None else kg.nodes.join(top_pins.select("id"), "id", "left_semi").select("id")
+        tops = kg.nodes.select("id") if top_pins is None else top_pins.select("id")
     level = tops.select(F.col("id").alias("s"), F.col("id").alias("o"), null.alias("edge_idx"))
     found = level
     links = kg.edges.filter(F.col("predicate") == sub).select(F.col("subject").alias("child"), F.col("object").alias("s"), F.col("edge_idx").alias("e"))

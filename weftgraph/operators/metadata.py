@@ -27,7 +27,7 @@ def category_prefixes(kg: KnowledgeGraph) -> DataFrame:
 
 def with_categories(kg: KnowledgeGraph, edges: DataFrame) -> DataFrame:
     """edges with subject_category and object_category: first categories of their ends."""
-    cat = kg.nodes.select("id", first_category().alias("c"))
+    cat = kg.node_records.select("id", first_category().alias("c"))
     for end in ("subject", "object"):
         edges = edges.join(cat.select(F.col("id").alias(end), F.col("c").alias(f"{end}_category")), end, "left").withColumn(f"{end}_category", F.coalesce(f"{end}_category", F.lit(FALLBACK_CATEGORY)))
     return edges

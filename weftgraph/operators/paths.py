@@ -63,7 +63,7 @@ def mechanistic_paths(kg: KnowledgeGraph, start: str, end: str) -> DataFrame:
 def hydrate(kg: KnowledgeGraph, paths: DataFrame) -> DataFrame:
     """Paths with name and categories of their inner nodes."""
     for i in (1, 2):
-        info = kg.nodes.select(F.col("id").alias(f"n{i}"), F.col("name").alias(f"name{i}"), F.col("categories").alias(f"categories{i}"))
+        info = kg.node_records.select(F.col("id").alias(f"n{i}"), F.col("name").alias(f"name{i}"), F.col("categories").alias(f"categories{i}"))
         paths = paths.join(info, f"n{i}", "left")
     return paths
 
@@ -96,6 +96,18 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
+def multiplicity_distribution(ways: DataFrame) -> DataFrame:
+    """(ways, n_nodes) of two_hop_multiplicity."""
+    return ways.groupBy("ways").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def mean_fan_out(kg: KnowledgeGraph, start: str) -> DataFrame:
+    """avg_fan_out: mean out-degree of the neighbours of start."""
+    hop1 = kg.edges.filter(F.col("subject") == start).select(F.col("object").alias("id")).distinct()
+    n = hop1.join(kg.edges.select(F.col("subject").alias("id"), F.lit(1).alias("one")), "id", "left").groupBy("id").agg(F.count("one").alias("n"))
+    return n.agg(F.avg("n").alias("avg_fan_out"))
+
+
 def explosion_report(kg: KnowledgeGraph, start: str, end: str) -> DataFrame:
     """One row: degrees, nodes two hops away, their overlap with the neighbours of end, how many ways lead to one, paths."""
     e = kg.edges
@@ -116,7 +128,7 @@ def top_middle_nodes(kg: KnowledgeGraph, start: str, end: str, k: int = 10) -> D
 def category_histogram(kg: KnowledgeGraph, paths: DataFrame) -> DataFrame:
     """(hop, category, n): first category of the nodes at hop 1 and 2."""
     both = paths.select(F.explode(F.array(F.struct(F.lit(1).alias("hop"), F.col("n1").alias("id")), F.struct(F.lit(2).alias("hop"), F.col("n2").alias("id")))).alias("x")).select("x.*")
-    return both.groupBy("hop", "id").agg(F.count(F.lit(1)).alias("k")).join(kg.nodes.select("id", _first_category().alias("category")), "id").groupBy("hop", "category").agg(F.sum("k").alias("n"))
+    return both.groupBy("hop", "id").agg(F.count(F.lit(1)).alias("k")).join(kg.node_records.select("id", _first_category().alias("category")), "id", "left").groupBy("hop", F.coalesce("category", F.lit("biolink:NamedThing")).alias("category")).agg(F.sum("k").alias("n"))
 
 
 def predicate_patterns(paths: DataFrame) -> DataFrame:

@@ -117,3 +117,14 @@ def sentence(paths: DataFrame, names: list[str], predicates: list[str]) -> DataF
     for p, n in zip(predicates, names[1:]):
         words += [F.regexp_replace(F.regexp_replace(p, "^[^:]*:", ""), "_", " "), F.col(n)]
     return paths.withColumn("sentence", F.concat_ws(" ", *words))
+
+
+def is_connected(result: dict, message: dict) -> bool:
+    """Whether the bound edges of one result join all its bound nodes."""
+    edges = message["knowledge_graph"]["edges"]
+    bound = {b["id"] for bs in result["node_bindings"].values() for b in bs}
+    links = [(edges[b["id"]]["subject"], edges[b["id"]]["object"]) for a in result["analyses"] for bs in a["edge_bindings"].values() for b in bs]
+    reached = set(list(bound)[:1])
+    while more := {y for x, o in links for y in (x, o) if (x in reached or o in reached) and y not in reached}:
+        reached |= more
+    return bound <= reached

@@ -191,6 +191,12 @@ def node_attr_constraint(kg):
     return _paths(_one(kg, {"predicates": [B + "affects"]}, {"ids": [hub(kg)]}, {"constraints": c}))
 
 
+@query(f"{_ROW} {_m(['affects'], ['affected_by'])} m join v on v.id = m.o where s = {_H} and not coalesce(v.ic > 60, false)")
+def node_attr_not(kg):
+    c = [{"id": "information_content", "operator": ">", "value": 60, "not": True}]
+    return _paths(_one(kg, {"predicates": [B + "affects"]}, {"ids": [hub(kg)]}, {"constraints": c}))
+
+
 # Joins --------------------------------------------------------------------------
 
 
@@ -481,6 +487,16 @@ def explosion_multiplicity(kg):
     return paths.two_hop_multiplicity(kg, hub(kg))
 
 
+@query(f"{_WAYS} select ways, count(*) as n_nodes from w group by ways")
+def multiplicity_distribution(kg):
+    return paths.multiplicity_distribution(paths.two_hop_multiplicity(kg, hub(kg)))
+
+
+@query(f", h as (select distinct object as id from e where subject = {_H}) select avg(n) as avg_fan_out from (select h.id, count(e.edge_idx) as n from h left join e on e.subject = h.id group by h.id)")
+def mean_fan_out(kg):
+    return paths.mean_fan_out(kg, hub(kg))
+
+
 @query(f"""{_WAYS}, m as (select distinct subject as n2 from e where object = {_MATE}) select (select count(*) from e where subject = {_H}) as start_degree, (select count(*) from e where subject = {_MATE}) as end_degree,
   count(*) as two_hop_nodes, avg(ways) as avg_ways, max(ways)::bigint as max_ways, median(ways) as median_ways, (select count(*) from w join m using (n2)) as middle_nodes,
   (select count(*) from {_E1} a join e b on b.subject = a.object join (select distinct subject from e where object = {_MATE} and subject <> {_H}) c on c.subject = b.object) as n_paths,

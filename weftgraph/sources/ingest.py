@@ -24,6 +24,33 @@ RAW_EDGES = f"edge_id string, subject string, predicate string, object string, q
 RAW_NODES = f"id string, name string, categories array<string>, attributes array<{schema.ATTRIBUTE}>, line bigint"
 
 
+class GraphSource:
+    """Where a graph comes from: subclasses give edge and node records as DataFrames, any number of times.
+
+    edges() has the columns of RAW_EDGES and line, nodes() those of RAW_NODES (None if
+    there are no node records); line is the order of records, whatever partition they are in.
+    """
+
+    def edges(self) -> DataFrame:
+        raise NotImplementedError
+
+    def nodes(self) -> DataFrame | None:
+        return None
+
+
+class JsonLines(GraphSource):
+    """Files of raw records, or of graph records such as a document store exports (normalized)."""
+
+    def __init__(self, spark: SparkSession, edge_path: str, node_path: str | None = None, normalized: bool = False) -> None:
+        self.spark, self.edge_path, self.node_path, self.normalized = spark, edge_path, node_path, normalized
+
+    def edges(self) -> DataFrame:
+        return edges_of_lines(self.spark.read.text(self.edge_path), self.normalized)
+
+    def nodes(self) -> DataFrame | None:
+        return nodes_of_lines(self.spark.read.text(self.node_path), self.normalized) if self.node_path else None
+
+
 def triples_of_lines(spark: SparkSession, path: str) -> DataFrame:
     """(subject, object, predicate) only: other fields are not parsed."""
     return spark.read.schema("subject string, object string, predicate string").json(path)
@@ -106,8 +133,12 @@ def build(spark: SparkSession, edges: DataFrame, nodes: DataFrame | None, ontolo
 
 def from_jsonl(spark: SparkSession, edge_path: str, node_path: str | None = None, ontology: Ontology | None = None, normalized: bool = False) -> KnowledgeGraph:
     """From files of raw (or normalized) records; the node file is optional."""
-    nodes = nodes_of_lines(spark.read.text(node_path), normalized) if node_path else None
-    return build(spark, edges_of_lines(spark.read.text(edge_path), normalized), nodes, ontology)
+    return from_source(JsonLines(spark, edge_path, node_path, normalized), ontology)
+
+
+def from_source(source: GraphSource, ontology: Ontology | None = None) -> KnowledgeGraph:
+    edges = source.edges()
+    return build(edges.sparkSession, edges, source.nodes(), ontology)
 
 
 def source_chain(sources: Column, own: str = normalize.OWN_SOURCE) -> Column:

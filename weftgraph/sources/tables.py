@@ -73,5 +73,6 @@ def graph_of_tables(spark: SparkSession, edges: DataFrame, nodes: DataFrame) ->
     of_nodes = _kinds(nodes)
     attr = F.array_compact(F.array(*[_shadow(a, of_nodes[a], f"{_P}Attribute") for a in ("equivalent_identifiers", "information_content")]))
     last = nodes.filter(F.trim("id") != "").groupBy("id").agg(F.max_by(F.struct("name", "category", "equivalent_identifiers", "information_content"), "node_row").alias("r")).select("id", "r.*")
-    found = mentioned.join(last, "id", "left").select("id", "name", F.coalesce(F.array_compact("category"), F.array().cast("array<string>")).alias("categories"), attr.alias("attributes"), "information_content")
-    return KnowledgeGraph(spark, found, narrow, attrs, ONTOLOGY)
+    records = last.select("id", "name", F.coalesce(F.array_compact("category"), F.array().cast("array<string>")).alias("categories"), attr.alias("attributes"), "information_content")
+    empty = {"categories": F.coalesce("categories", F.array().cast("array<string>")), "attributes": F.coalesce("attributes", F.array().cast(f"array<{schema.ATTRIBUTE}>"))}
+    return KnowledgeGraph(spark, mentioned.join(records, "id", "left").withColumns(empty), narrow, attrs, ONTOLOGY, records=records)
