@@ -92,14 +92,14 @@ class LookupResult:
         if not by_matching_child:
             seen = seen.withColumn("subs", F.flatten(F.collect_set("subs").over(w)))
         seen = seen.withColumn("subs", F.array_sort(F.array_distinct(F.array_compact("subs"))))
-        cols = ["subject", "predicate", "object"]
-        if not self.dehydrated:
-            sources = F.transform("sources", lambda s: F.struct(s["resource_id"], s["resource_role"]))
-            cols += [F.to_json("qualifiers").alias("qk"), F.to_json(sources).alias("sk")]
-        stored = self.kg.edges.select("edge_idx", "edge_id", *cols)
+        cols = ["subject", "predicate", "object"] + ([] if self.dehydrated else ["qualifiers", "sources"])
+        found = seen.join(self.kg.edges.select("edge_idx", "edge_id", *cols), "edge_idx")
         same = ["subject", "predicate", "object"] + ([] if self.dehydrated else ["qk", "sk"])
+        if not self.dehydrated:  # only of edges that have matched
+            sources = F.transform("sources", lambda s: F.struct(s["resource_id"], s["resource_role"]))
+            found = found.withColumns({"qk": F.to_json("qualifiers"), "sk": F.to_json(sources)}).drop("qualifiers", "sources")
         first = Window.partitionBy("result_id", "qedge", *same).orderBy("edge_idx")
-        return seen.join(stored, "edge_idx").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+        return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
 
     def edges(self, compat: bool = False) -> DataFrame:
         """result_id, qedge, kg_edge, composite, edge_idx, subject, predicate, object, subs, tops of the edges of every result.
