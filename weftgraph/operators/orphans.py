@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.keys import integer_key
 from weftgraph.operators.skew import heavy_keys, with_slice
 
-#: Keys of one block of 2 ** BLOCK_BITS integers are matched together.
-BLOCK_BITS = 8
+#: Keys of one block of 2 ** BLOCK_BITS integers are matched together: few, so that a block of keys just too light for slices (skew.HEAVY_SHARE) stays below a sixteenth of all rows.
+BLOCK_BITS = 5
 EARLIEST, LATEST = -(2**63), 2**63 - 1
 #: Microseconds of the chunks in which lives are merged first.
 CHUNK = 30 * 86_400_000_000
