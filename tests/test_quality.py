@@ -230,6 +230,23 @@ def test_unified_files(spark):
     assert [(r["b"], r["c"], r["w"]) for r in t.orderBy("line_id").collect()] == [("v1", ["x"], None), ("v2", ["x", "y"], None), ("v1", ["q"], 1.5), ("v1", None, 2.0)]
 
 
+def test_unified_files_keep_every_value(spark):
+    one = [
+        {"b": "v1", "note": "n", "c": ["x"], "w": 1, "none": None, "k": 2}, {"b": "v2", "c": {"id": "x", "label": "l"}, "w": "many", "d": [{"x": "u", "z": 5}]},
+        {"b": ["p", "q"], "w": [1, 2], "d": ["bare"]}, {"w": True, "b": []}, {"w": 2**60 + 1, "b": None}, {"w": "9007199254740993"}, {"w": "7"}, {"w": 10**400},
+    ]
+    two = [{"b": "new", "bb": "v1", "k": 3}, {"b": "new", "bb": "v2", "a.w": 1}, {"bb": '["p", "q"]'}]
+    df = spark.createDataFrame(_file("f", 1, one) + _file("f", 2, two), LINES)
+    names = spark.createDataFrame([("f", 2, 2**31 - 1, "bb", "b"), ("f", 2, 2**31 - 1, "k", "kk")], "feed string, from_no int, to_no int, path string, name string")
+    target = {"b": "string", "c": ["string"], "w": "number", "d": [{"x": "string"}]}
+    t = drift.unify(df, names, target, "b string, c array<string>, w double, d array<struct<x:string>>").orderBy("line_id").collect()
+    assert [r["rest"] and {k: json.loads(v) for k, v in r["rest"].items()} for r in t] == [
+        {"note": "n", "k": 2}, {"c": {"id": "x", "label": "l"}, "w": "many", "d": [{"x": "u", "z": 5}]}, {"w": [1, 2], "d": ["bare"]}, {"w": True, "b": []}, {"w": 2**60 + 1},
+        {"w": "9007199254740993"}, None, {"w": 10**400}, {"b#": "new", "kk": 3}, {"b#": "new", "a.w": 1}, None,
+    ]
+    assert [r["b"] for r in t][-3:] == ["v1", "v2", '["p", "q"]'] and t[1]["c"] == ["x"] and t[6]["w"] == 7.0
+
+
 def test_values_and_flooding():
     assert drift.value_hash({"a": 1, "b": [1.0]}) == drift.value_hash({"b": [1], "a": 1.0}) != drift.value_hash({"b": [2], "a": 1})
     old, new = {"p": 8, "p.a": 1, "p.k": 1}, {"p": 8, "p.z": 1, "p.k": 1}

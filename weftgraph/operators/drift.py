@@ -260,44 +260,74 @@ def canonical_names(found: DataFrame) -> DataFrame:
 
 
 def _rename(obj: dict, names: dict[str, str], prefix: str = "") -> dict:
-    out = {}
-    for k, v in obj.items():
+    """obj under canonical names. Of two fields that would get one name, a renamed one has it; the other gets # behind it."""
+    out: dict = {}
+    for k in sorted(obj, key=lambda k: (prefix + k not in names, k)):
         path = prefix + k
         deep = lambda x: _rename(x, names, f"{path}.") if isinstance(x, dict) else [deep(y) for y in x] if isinstance(x, list) else x
-        out[names.get(path, path).rpartition(".")[2]] = deep(v)
+        name = names[path].rpartition(".")[2] if path in names else k
+        while name in out:
+            name += "#"
+        out[name] = deep(obj[k])
     return out
 
 
-def fit(v: Any, kind: Any) -> Any:
-    """A JSON value in the wanted shape: 'string', 'number', [kind] or {field: kind}. Lists are unwrapped or wrapped, JSON in strings is read; what does not fit is None."""
+def _number(v: Any) -> tuple[float | None, bool]:
+    try:
+        x = float(v)
+    except (TypeError, ValueError, OverflowError):
+        return None, False
+    if isinstance(v, bool) or not np.isfinite(x):
+        return x, False
+    try:
+        return x, int(v) == x if isinstance(v, str) else x == v
+    except ValueError:
+        return x, "_" not in v
+
+
+def fit_whole(v: Any, kind: Any) -> tuple[Any, bool]:
+    """fit(v, kind), and whether all of v's non-null values are in it."""
     if v is None:
-        return None
+        return None, True
     if isinstance(kind, (list, dict)) and isinstance(v, str) and v[:1] in "[{":
         try:
             v = json.loads(v, parse_constant=_no_constant)
         except (ValueError, RecursionError):
             pass
     if isinstance(kind, list):
-        return [fit(x, kind[0]) for x in (v if isinstance(v, list) else [v])]
+        got = [fit_whole(x, kind[0]) for x in (v if isinstance(v, list) else [v])]
+        return [x for x, _ in got], all(w for _, w in got)
     if isinstance(v, list):
-        return fit(v[0], kind) if len(v) == 1 else None if not v or kind == "number" else fit(json.dumps(v), kind) if kind == "string" else None
+        if len(v) == 1:
+            return fit_whole(v[0], kind)
+        return (json.dumps(v), True) if v and kind == "string" else (None, False)
     if isinstance(kind, dict):
-        return {k: fit(v.get(k), t) for k, t in kind.items()} if isinstance(v, dict) else None
+        if not isinstance(v, dict):
+            return None, False
+        got = {k: fit_whole(v.get(k), t) for k, t in kind.items()}
+        return {k: x for k, (x, _) in got.items()}, all(w for _, w in got.values()) and all(x is None for k, x in v.items() if k not in kind)
     if isinstance(v, dict):
-        return fit(v.get("id"), kind) if "id" in v else json.dumps(v, sort_keys=True) if kind == "string" else None
+        if "id" in v:
+            x, whole = fit_whole(v["id"], kind)
+            return x, whole and all(y is None for k, y in v.items() if k != "id")
+        return (json.dumps(v, sort_keys=True), True) if kind == "string" else (None, False)
     if kind == "number":
-        try:
-            return float(v)
-        except (TypeError, ValueError):
-            return None
-    return v if isinstance(v, str) else json.dumps(v)
+        return _number(v)
+    return (v if isinstance(v, str) else json.dumps(v)), True
+
+
+def fit(v: Any, kind: Any) -> Any:
+    """A JSON value in the wanted shape: 'string', 'number', [kind] or {field: kind}. Lists are unwrapped or wrapped, JSON in strings is read; what does not fit is None."""
+    return fit_whole(v, kind)[0]
 
 
 def unify(lines: DataFrame, names: DataFrame, target: dict[str, Any], ddl: str) -> DataFrame:
-    """One consistent table (line_id, feed, file_id, and the columns of ddl) of the valid lines of all files.
+    """One consistent table (line_id, feed, file_id, the columns of ddl, rest) of the valid lines of all files.
 
     Fields go under their canonical names and are cast to target, whose fields are
     those of ddl; of different spellings of a name (letter case) the exact one counts.
+    rest has the JSON of every other field that is not null, and of every field that
+    its column does not hold whole, by canonical name; null if there is none.
     """
     wanted = names.groupBy("feed").agg(F.collect_list(F.struct("from_no", "to_no", "path", "name")).alias("names"))
 
@@ -308,8 +338,14 @@ def unify(lines: DataFrame, names: DataFrame, target: dict[str, Any], ddl: str)
                 if (obj := parse_object(text)) is None:
                     continue
                 to = {w["path"]: w["name"] for w in ([] if want is None else want) if w["from_no"] <= no < w["to_no"]}
-                rows.append((line, feed, fid, json.dumps({k: fit(v, target[k]) for k, v in _rename(obj, to).items() if k in target})))
-            yield pd.DataFrame(rows, columns=["line_id", "feed", "file_id", "record"])
-
-    out = lines.select("line_id", "feed", "file_id", "file_no", "payload").join(wanted, "feed", "left").mapInPandas(run, "line_id bigint, feed string, file_id string, record string")
-    return out.withColumn("r", F.from_json("record", ddl)).select("line_id", "feed", "file_id", "r.*")
+                record, rest = {}, {}
+                for k, v in _rename(obj, to).items():
+                    if k in target:
+                        record[k], whole = fit_whole(v, target[k])
+                    if v is not None and not (k in target and whole):
+                        rest[k] = json.dumps(v, sort_keys=True)
+                rows.append((line, feed, fid, json.dumps(record), dict(sorted(rest.items())) or None))
+            yield pd.DataFrame(rows, columns=["line_id", "feed", "file_id", "record", "rest"])
+
+    out = lines.select("line_id", "feed", "file_id", "file_no", "payload").join(wanted, "feed", "left").mapInPandas(run, "line_id bigint, feed string, file_id string, record string, rest map<string,string>")
+    return out.withColumn("r", F.from_json("record", ddl)).select("line_id", "feed", "file_id", "r.*", "rest")

@@ -247,10 +247,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    """The raw records of all files in one table, scalars only (lists as JSON text)."""
+    """The raw records of all files in one table, scalars only (lists and the rest as JSON text)."""
     lines = _table(spark, d, "edge_files")
     t = drift.unify(lines, drift.canonical_names(drift.changes(lines)), EDGE_COLUMNS, EDGE_DDL)
-    return t.withColumns({c: F.to_json(c) for c in ("category", "sources", "publications")})
+    return t.withColumns({c: F.to_json(c) for c in ("category", "sources", "publications", "rest")})
 
 
 # 7 ---------------------------------------------------------------------------
