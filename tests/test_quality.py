@@ -120,6 +120,19 @@ def test_hierarchies_against_brute_force(spark, seed, finish):
     assert all(d[n] == k for n, _, _, k, s in _forest(parent) if s == "ok")
 
 
+@pytest.mark.parametrize("finish", [50_000, 0])
+def test_descendants_in_every_state(spark, finish):
+    parent = {f"b{i}": f"b{(i + 1) % 7}" for i in range(7)} | {"h1": "b3", "h2": "h1", "h3": "h2", "h4": "h2", "c": "d", "d": "c", "self": "self", "under": "self", "r1": "r", "r2": "r1"}
+    parent |= {f"t{i}": f"t{i + 1}" for i in range(9)} | {"t9": "d"}
+    links = spark.createDataFrame([*parent.items(), ("h1", "b3"), (None, "x"), ("x", "")], "child string, parent string")
+    t = hierarchy.hierarchy(links, finish_links=finish)
+    expected = sorted((a, n, _walk(parent, n).index(a) + 1) for n in parent for a in set(_walk(parent, n)) - {n})
+    got = rows(hierarchy.descendants(t, links))
+    assert sorted(got) == expected
+    n = Counter(a for a, _, _ in got)
+    assert all(n[r["node"]] == r["n_desc"] for r in t.collect())
+
+
 def test_long_chain_and_large_cycle_are_doubled(spark, monkeypatch):
     """Chains hardly get shorter by rounds, cycles not at all."""
     parent = {f"a{i}": f"a{i + 1}" for i in range(200)} | {f"b{i}": f"b{(i + 1) % 70}" for i in range(70)} | {f"h{i}": f"b{i}" for i in range(3)} | {"h9": "h0", "t": "a150"}

@@ -90,6 +90,11 @@ def _finish(with_path: bool):
     return run
 
 
+def _one_parent(links: DataFrame) -> DataFrame:
+    links = links.select("child", "parent").filter((F.col("child") != "") & (F.col("parent") != ""))
+    return links.groupBy("child").agg(F.min("parent").alias("parent"))
+
+
 def hierarchy(links: DataFrame, with_path: bool = True, finish_links: int = FINISH_LINKS) -> DataFrame:
     """(node, root, depth, path, n_desc, state) of every node of links (child STRING, parent STRING).
 
@@ -101,8 +106,7 @@ def hierarchy(links: DataFrame, with_path: bool = True, finish_links: int = FINI
     Repeated links count once; links with a null or empty end are no links; of
     several parents of a node the smallest counts. An empty table gives no rows.
     """
-    links = links.select("child", "parent").filter((F.col("child") != "") & (F.col("parent") != ""))
-    links = cut(links.groupBy("child").agg(F.min("parent").alias("parent")))
+    links = cut(_one_parent(links))
     tops = links.select(F.col("parent").alias("child")).distinct().join(links, "child", "left_anti").withColumn("parent", F.lit(None).cast("string"))
     # One row for each node; own: nodes of its subtree that are peeled, itself included.
     active = cut(links.unionByName(tops).withColumn("own", F.lit(1).cast("bigint")))
@@ -206,7 +210,31 @@ def _rings(active: DataFrame) -> DataFrame:
     return step.join(sizes, "low").select(F.col("child").alias("node"), F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("path"), "n_desc", F.lit("cycle").alias("state"))
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """(node, descendant, distance): every node's descendant list, a row for each, from the paths of hierarchy()."""
+def _ways_to_cycles(nodes: DataFrame) -> DataFrame:
+    """(node, way) of nodes (child, parent), all of them on or below a cycle: the nodes on the way up, the nearest first, each once, by doubling."""
+    # A way that meets a node again has met all that there are.
+    st = cut(nodes.select("child", F.col("parent").alias("far"), F.array("parent").alias("way")))
+    while not st.filter(F.col("far").isNotNull()).isEmpty():
+        up = st.select(F.col("child").alias("far"), F.col("far").alias("far2"), F.col("way").alias("way2"))
+        both = st.join(up, "far", "left").select("child", "far2", F.size("way").alias("n"), F.size("way2").alias("n2"), F.array_distinct(F.concat("way", F.coalesce("way2", F.array().cast("array<string>")))).alias("way"))
+        # far2 null: the further way has met all itself.
+        st = cut(both.select("child", F.when(F.size("way") == F.col("n") + F.col("n2"), F.col("far2")).alias("far"), "way"))
+    return st.select(F.col("child").alias("node"), "way")
+
+
+def descendants(tree: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(node, descendant, distance): every node's descendant list, a row for each, from the paths of hierarchy().
+
+    With the links of the tree, nodes on and below cycles have theirs, too, so that
+    each node has n_desc rows; distance is the least number of steps. Without, only
+    nodes whose state is 'ok' have rows.
+    """
+    if links is not None:
+        tree = cut(tree.select("node", "depth", "path", "state"))
     p = tree.filter(F.col("path").isNotNull()).select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("pos", "node"))
-    return p.filter(F.col("pos") < F.col("depth")).select("node", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+    out = p.filter(F.col("pos") < F.col("depth")).select("node", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+    if links is None:
+        return out
+    lost = _one_parent(links).join(tree.filter(F.col("state") != "ok").select(F.col("node").alias("child")), "child", "left_semi")
+    ways = _ways_to_cycles(lost).select(F.col("node").alias("descendant"), F.posexplode("way").alias("pos", "node"))
+    return out.unionByName(ways.filter(F.col("node") != F.col("descendant")).select("node", "descendant", (F.col("pos") + 1).alias("distance")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import plain_form
 from weftgraph.operators import drift, duplicates, frequency, hierarchy, nested, orphans, weighted
+from weftgraph.operators.durable import cut
 
 CHILD_TO_PARENT = ["subclassof", "biolinksubclassof"]
 PARENT_TO_CHILD = ["superclassof", "biolinksuperclassof"]
@@ -82,10 +83,18 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Of nodes that are neither on nor below a cycle; p2_all_descendants has all."""
     t = hierarchy.descendants(hierarchy.hierarchy(_links(spark, d)))
     return t.select(F.col("node").alias("node_key"), F.col("descendant").alias("descendant_key"), "distance")
 
 
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every node, whatever its state: n_desc rows each."""
+    links = cut(_links(spark, d))
+    t = hierarchy.descendants(hierarchy.hierarchy(links), links)
+    return t.select(F.col("node").alias("node_key"), F.col("descendant").alias("descendant_key"), "distance")
+
+
 _IN = lambda ps: ", ".join(f"'{p}'" for p in ps)
 _LINKS = f"""p as (select {_PLAIN.format("predicate")} as p, {_PLAIN.format("subject")} as s, {_PLAIN.format("object")} as o from edges),
 l as (select distinct case when p in ({_IN(CHILD_TO_PARENT)}) then s else o end as c, case when p in ({_IN(CHILD_TO_PARENT)}) then o else s end as a
@@ -115,6 +124,10 @@ t as (select k from roots union all select l.c from t join l on l.a = t.k),
 r as (select l.a as k, l.c as x, 1 as distance from l join t on t.k = l.a
   union all select r.k, l.c, r.distance + 1 from r join l on l.a = r.x)
 select k as node_key, x as descendant_key, distance from r"""
+_P2_ALL_DESC = f"""with recursive {_LINKS}
+up as (select c as k, a as x, 1 as steps, [c, a] as way from l
+  union all select up.k, l.a, up.steps + 1, list_append(up.way, l.a) from up join l on l.c = up.x where not list_contains(up.way, l.a))
+select x as node_key, k as descendant_key, steps as distance from up where k <> x"""
 
 # 3 ---------------------------------------------------------------------------
 
@@ -274,8 +287,8 @@ _P7 = f"""{_STATEMENTS}, w as (select edge_row, min(edge_row) over (partition by
 select a as row_a, edge_row as row_b from w where a <> edge_row"""
 _P7_STATEMENTS = f"{_STATEMENTS} select min(edge_row) as edge_row, count(*) as n_copies from p where s <> '' and p <> '' and o <> '' group by s, p, o, q"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p3_found, p3_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
 SQL = {
-    "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC,
+    "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC, "p2_all_descendants": _P2_ALL_DESC,
     "p3_found": _P3, "p3_tables": _P3_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
 }
