@@ -30,6 +30,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == sorted(df.columns) and _plain(df.collect(), df.columns) == _plain(cur.fetchall(), names)
 
 
+def test_loops_of_rare_subjects(spark, tmp_path):
+    e = spark.read.parquet(f"{DATA}/edges.parquet").filter("trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> ''").drop("object")
+    one = e.groupBy("subject").agg({"edge_row": "min"}).toDF("object", "edge_row")
+    e.join(one, "edge_row", "left").fillna("no loop", ["object"]).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.read.parquet(f"{DATA}/nodes.parquet").write.parquet(f"{tmp_path}/nodes.parquet")
+    expected = sorted((r["object"], r["edge_row"]) for r in one.collect())
+    con = duckdb.connect()
+    for t in ("edges", "nodes"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = entry.queries()["all_self_loops"](spark, str(tmp_path))
+    assert len(expected) > 200 and sorted(map(tuple, got.select("n0", "edge_idx").collect())) == expected
+    assert sorted(con.execute(f"select n0, edge_idx from ({entry.oracle_sql()['all_self_loops']})").fetchall()) == expected
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["n0", "n1", "n2", "e0", "e1"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -70,6 +70,8 @@ def match_edge(kg: KnowledgeGraph, edge: QEdge, s_pins: Pins = None, o_pins: Pin
     forth = _predicate_is(along) & _at("subject", s_pins) & _at("object", o_pins)
     back = _predicate_is(against) & _at("object", s_pins) & _at("subject", o_pins)
     found = kg.edges.filter(forth if against.none else forth | back)
+    if edge.subject == edge.object:
+        found = found.filter(F.col("subject") == F.col("object"))
     quals = expand_qualifiers(kg.ontology, edge.qualifier_constraints)
     if quals:
         found = found.filter(qualifiers_match(F.col("qualifiers"), quals))
@@ -82,8 +84,6 @@ def match_edge(kg: KnowledgeGraph, edge: QEdge, s_pins: Pins = None, o_pins: Pin
     else:
         ways = F.filter(F.array(F.when(forth, way("subject", "object", False)), F.when(back, way("object", "subject", True))), lambda w: w.isNotNull())
         out = found.select(F.explode(ways).alias("w"), "edge_idx", "predicate").select("w.s", "w.o", "edge_idx", "predicate", "w.via_inverse")
-    if edge.subject == edge.object:
-        out = out.filter(F.col("s") == F.col("o"))
     out = _semi(_semi(out, "s", s_pins), "o", o_pins)
     if edge.attribute_constraints:
         passing = kg.edge_attributes.filter(attributes_match(F.col("attributes"), edge.attribute_constraints)).select("edge_idx")

@@ -245,11 +245,18 @@ def edge_narrowing_equivalence(kg):
 
 @query(f"select s as n0, edge_idx from {_m(None, None)} m where s = o and s in (select subject from e group by subject order by count(*) desc, subject limit 200) and not inv")
 def self_loops(kg):
+    """At the 200 most frequent subjects; all_self_loops has all."""
     top = [r[0] for r in kg.edges.groupBy("subject").count().orderBy(F.desc("count"), "subject").limit(200).collect()]
     p = lookup(kg, {"nodes": {"n0": {"ids": top}}, "edges": {"e0": {"subject": "n0", "object": "n0"}}}, subclass=False).paths
     return p.filter(~F.col("v_e0")).select(F.col("n_n0").alias("n0"), F.col("e_e0").alias("edge_idx"))
 
 
+@query("select subject as n0, edge_idx from e where subject = object")
+def all_self_loops(kg):
+    p = lookup(kg, {"nodes": {"n0": {}}, "edges": {"e0": {"subject": "n0", "object": "n0"}}}, subclass=False, allow_full_scan=True).paths
+    return p.filter(~F.col("v_e0")).select(F.col("n_n0").alias("n0"), F.col("e_e0").alias("edge_idx"))
+
+
 # Subclasses ---------------------------------------------------------------------
 
 _KIDS = f"kids as (select {_TOP} as s, {_TOP} as o, null::bigint as edge_idx union all select subject, object, min(edge_idx) from e where predicate = 'biolink:subclass_of' and object = {_TOP} and subject <> object group by subject, object)"
