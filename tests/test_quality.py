@@ -166,6 +166,12 @@ def test_nested_records_as_tables(spark, tmp_path):
     assert nested.emit_tagged(df.limit(0), "id", levels).count() == 0
 
 
+def test_tagged_tables_without_rows_are_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, None)], "id long, s array<struct<a:string>>")
+    nested.write_tagged(nested.emit_tagged(df, "id", nested.levels_of(df.drop("id").schema)[1]), str(tmp_path / "t"))
+    assert nested.read_tagged(spark, str(tmp_path / "t"), "s", {"a": "string"}).collect() == []
+
+
 # 4 -------------------------------------------------------------------------------
 
 

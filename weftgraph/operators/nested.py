@@ -47,6 +47,7 @@ def _visit(level: Level, above: list[Column], positions: list[Column], pk: Colum
 
 
 ROWS = "array<struct<tag:string,pk:array<bigint>,payload:map<string,string>>>"
+TAGGED = "pk array<bigint>, parent_pk array<bigint>, payload map<string,string>, tag string"
 
 
 def emit_tagged(df: DataFrame, key: str, levels: list[Level], root: tuple[str, dict[str, Column]] | None = None) -> DataFrame:
@@ -122,4 +123,4 @@ def write_tagged(tagged: DataFrame, path: str) -> None:
 
 def read_tagged(spark: SparkSession, path: str, tag: str, schema: dict[str, str]) -> DataFrame:
     """One table of what write_tagged wrote; only its folder is read."""
-    return apply_schema(spark.read.parquet(path), tag, schema)
+    return apply_schema(spark.read.schema(TAGGED).parquet(path), tag, schema)

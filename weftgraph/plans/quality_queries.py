@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import plain_form
 from weftgraph.operators import drift, duplicates, frequency, hierarchy, nested, orphans, weighted
-from weftgraph.operators.durable import cut
+from weftgraph.operators.durable import cut, shared_dir
 
 CHILD_TO_PARENT = ["subclassof", "biolinksubclassof"]
 PARENT_TO_CHILD = ["superclassof", "biolinksuperclassof"]
@@ -167,6 +169,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_written(spark: SparkSession, d: str) -> DataFrame:
+    """p3_found by way of files: the tables are written by tag, and schemas are applied on reading."""
+    path = f"{shared_dir(spark)}/tagged-{uuid4().hex}"
+    nested.write_tagged(_tagged_sources(spark, d), path)
+    keys = {"resource_key": "string", "role_key": "string"}
+    ups = nested.read_tagged(spark, path, "upstream", keys | {"parent_pos": "bigint"})
+    alone = nested.read_tagged(spark, path, "source", keys | {"n_upstream": "bigint"}).filter("n_upstream = 0")
+    none = F.lit(-1).cast("bigint")
+    head = [F.element_at("pk", 1).alias("edge_row"), F.element_at("pk", 2).alias("source_pos"), "resource_key", "role_key"]
+    return ups.select(*head, F.element_at("pk", 3).alias("upstream_pos"), "parent_pos").unionByName(alone.select(*head, none.alias("upstream_pos"), none.alias("parent_pos")))
+
+
 def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows and different resources of each flat table that a schema-driven visitor makes of edges."""
     e = _table(spark, d, "edges").select("edge_row", "sources", "publications")
@@ -287,8 +301,8 @@ _P7 = f"""{_STATEMENTS}, w as (select edge_row, min(edge_row) over (partition by
 select a as row_a, edge_row as row_b from w where a <> edge_row"""
 _P7_STATEMENTS = f"{_STATEMENTS} select min(edge_row) as edge_row, count(*) as n_copies from p where s <> '' and p <> '' and o <> '' group by s, p, o, q"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_written, p3_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
 SQL = {
     "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC, "p2_all_descendants": _P2_ALL_DESC,
-    "p3_found": _P3, "p3_tables": _P3_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
+    "p3_found": _P3, "p3_written": _P3, "p3_tables": _P3_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
 }
