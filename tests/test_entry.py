@@ -44,6 +44,11 @@ def test_loops_of_rare_subjects(spark, tmp_path):
     assert sorted(con.execute(f"select n0, edge_idx from ({entry.oracle_sql()['all_self_loops']})").fetchall()) == expected
 
 
+def test_tables_of_every_column(spark):
+    tags = {r["tag"] for r in entry.queries()["p3_all_tables"](spark, DATA).collect()}
+    assert tags == {"edges", "category", "publications", "sources", "sources.upstream_resource_ids", "sources.source_record_urls"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["n0", "n1", "n2", "e0", "e1"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -182,7 +182,7 @@ def p3_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and different resources of each flat table that a schema-driven visitor makes of edges."""
+    """Rows and values of the flat tables that a schema-driven visitor makes of sources and publications; p3_all_tables has all of edges."""
     e = _table(spark, d, "edges").select("edge_row", "sources", "publications")
     _, levels = nested.levels_of(e.schema)
     t = nested.emit_tagged(e, "edge_row", levels)
@@ -190,6 +190,15 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_values"), F.sum(F.element_at("pk", -1)).alias("sum_pos"))
 
 
+def p3_all_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and non-null values of each flat table that a schema-driven visitor makes of edges, the records' own included."""
+    e = _table(spark, d, "edges")
+    scalars, levels = nested.levels_of(e.schema)
+    t = nested.emit_tagged(e, "edge_row", levels, ("edges", {k: F.col(f"`{k}`") for k in scalars}))
+    values = F.size(F.filter(F.map_values("payload"), lambda v: v.isNotNull()))
+    return t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(values).alias("n_values"), F.sum(F.element_at("pk", -1)).alias("sum_pos"))
+
+
 _P3 = f"""with s as (select edge_row, unnest(range(len(sources))) as p, sources from edges where sources is not null),
 k as (select edge_row, p, sources[p + 1] as x, list_transform(sources, lambda y: case when y is not null then {_PLAIN.format("y.resource_id")} end) as keys from s where sources[p + 1] is not null),
 u as (select edge_row, p, x, keys, unnest(range(len(x.upstream_resource_ids))) as q from k where x.upstream_resource_ids is not null)
@@ -207,6 +216,19 @@ rows as (
   union all select 'publications', q, l[q + 1] from (select unnest(range(len(publications))) as q, publications as l from edges))
 select tag, count(*) as n_rows, count(v) as n_values, cast(sum(p) as bigint) as sum_pos from rows where tag = 'sources' or v is not null group by tag"""
 
+_SCALARS = ["edge_row", "id", "subject", "predicate", "object", "knowledge_level", "agent_type", "p_value", "evidence_count", "object_aspect_qualifier", "object_direction_qualifier", "asserted_at", "loaded_at"]
+_LIST = "select '{0}' as tag, q as p, cast(l[q + 1] is not null as bigint) as n from (select unnest(range(len({1}))) as q, {1} as l from {2}) where l[q + 1] is not null"
+_P3_ALL_TABLES = f"""with s as (select edge_row, unnest(range(len(sources))) as p, sources from edges),
+x as (select p, sources[p + 1] as x from s where sources[p + 1] is not null),
+rows as (
+  select 'edges' as tag, edge_row as p, {" + ".join(f"cast({c} is not null as bigint)" for c in _SCALARS)} as n from edges
+  union all select 'sources', p, cast(x.resource_id is not null as bigint) + cast(x.resource_role is not null as bigint) from x
+  union all {_LIST.format("sources.upstream_resource_ids", "x.upstream_resource_ids", "x")}
+  union all {_LIST.format("sources.source_record_urls", "x.source_record_urls", "x")}
+  union all {_LIST.format("publications", "publications", "edges")}
+  union all {_LIST.format("category", "category", "edges")})
+select tag, count(*) as n_rows, cast(sum(n) as bigint) as n_values, cast(sum(p) as bigint) as sum_pos from rows group by tag"""
+
 # 4 ---------------------------------------------------------------------------
 
 
@@ -301,8 +323,8 @@ _P7 = f"""{_STATEMENTS}, w as (select edge_row, min(edge_row) over (partition by
 select a as row_a, edge_row as row_b from w where a <> edge_row"""
 _P7_STATEMENTS = f"{_STATEMENTS} select min(edge_row) as edge_row, count(*) as n_copies from p where s <> '' and p <> '' and o <> '' group by s, p, o, q"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_written, p3_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_written, p3_tables, p3_all_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
 SQL = {
     "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC, "p2_all_descendants": _P2_ALL_DESC,
-    "p3_found": _P3, "p3_written": _P3, "p3_tables": _P3_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
+    "p3_found": _P3, "p3_written": _P3, "p3_tables": _P3_TABLES, "p3_all_tables": _P3_ALL_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
 }
