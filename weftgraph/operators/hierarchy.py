@@ -1,213 +1,126 @@
 """Parent-child links of unknown depth as full hierarchies.
 
-Leaves are peeled bottom-up: a node all of whose children are peeled sends the
-size of its subtree to its parent and is peeled in the next round. The reverse
-order of peeling hands root, depth and path down. What never becomes a leaf is
-a cycle.
-
-A round over all links is one shuffle, so peeling goes on in distributed rounds
-only while more than FINISH_LINKS links are left; the rest, whose size has then
-been counted, is peeled to its end by one task. Where rounds take hardly anything
-away, long chains or large cycles are left: too many for one task and too deep for
-rounds, they are finished by doubling the way up, in the log of their depth.
+Leaves are peeled bottom-up: a leaf sends the size of its subtree to its parent and
+is gone. So that long chains do not need as many rounds as they have nodes, each
+round also takes nodes out of chains: a node with one child left, none of whose
+neighbours is taken out as well, hands its parent and its size to that child. Every
+round takes a share of all nodes away, whatever the shape of the trees, so the
+rounds grow with the logarithm of their number. What stays are cycles, each of them
+shrunk to one node that is its own parent.
+
+The reverse order hands root, depth, path and state down and gives nodes of chains
+the size of what is below them. A round's parents and children are among the nodes
+taken away after it, which are fewer than a constant times those of the round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from uuid import uuid4
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.durable import cut
-
-#: Links (of about 40 bytes) that one task may peel by itself.
-FINISH_LINKS = 50_000
-#: Distributed rounds between two counts of what is left.
-ROUNDS_AT_ONCE = 3
-#: Peeling is given up if so many rounds leave more than this share.
-STALLED = 0.9
+from weftgraph.operators.durable import cut, shared_dir
 
+STAYS, PEELED, BRIDGED = 0, 1, 2
+_NO_PATH = "array<string>"
 _TOP = "node string, root string, depth int, path array<string>, n_desc bigint, state string"
 
 
-def _finish(with_path: bool):
-    """Peels the links (child, parent, own) of one task to the end and hands root, depth, path and state down."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = pd.concat([p for p in parts] or [pd.DataFrame({"child": [], "parent": [], "own": []})])
-        if not len(links):
-            return
-        parent: dict[str, str] = {}
-        size: dict[str, int] = {}
-        waiting: dict[str, int] = {}
-        for c, p, own in zip(links["child"], links["parent"], links["own"]):
-            size[c] = int(own)
-            if p is not None:
-                parent[c] = p
-        for p in parent.values():
-            waiting[p] = waiting.get(p, 0) + 1
-            size.setdefault(p, 1)
-        order: list[str] = []
-        ready = [n for n in size if not waiting.get(n)]
-        while ready:
-            order += ready
-            following = []
-            for n in ready:
-                p = parent.get(n)
-                if p is not None:
-                    size[p] += size[n]
-                    waiting[p] -= 1
-                    if not waiting[p]:
-                        following.append(p)
-            ready = following
-        found: dict[str, tuple] = {}
-        peeled = set(order)
-        for n in size:
-            if n in peeled or n in found:
-                continue
-            ring = [n]
-            while parent[ring[-1]] != n:
-                ring.append(parent[ring[-1]])
-            reach = sum(size[r] for r in ring) - 1
-            for r in ring:
-                found[r] = ("", -1, None, reach, "cycle")
-        for n in reversed(order):
-            p = parent.get(n)
-            if p is None:
-                found[n] = (n, 0, [n] if with_path else None, size[n] - 1, "ok")
-            elif found[p][4] != "ok":
-                found[n] = ("", -1, None, size[n] - 1, "below_cycle")
-            else:
-                root, depth, path, _, _ = found[p]
-                found[n] = (root, depth + 1, [*path, n] if with_path else None, size[n] - 1, "ok")
-        names = list(found)
-        for i in range(0, len(names), 10_000):
-            chunk = names[i : i + 10_000]
-            yield pd.DataFrame([(n, *found[n]) for n in chunk], columns=["node", "root", "depth", "path", "n_desc", "state"])
-
-    return run
-
-
 def _one_parent(links: DataFrame) -> DataFrame:
     links = links.select("child", "parent").filter((F.col("child") != "") & (F.col("parent") != ""))
     return links.groupBy("child").agg(F.min("parent").alias("parent"))
 
 
-def hierarchy(links: DataFrame, with_path: bool = True, finish_links: int = FINISH_LINKS) -> DataFrame:
+def _below(with_path: bool, *parts: Column | str) -> Column:
+    return F.concat(*parts) if with_path else F.lit(None).cast(_NO_PATH)
+
+
+def _start(links: DataFrame) -> DataFrame:
+    """node, parent (null at the top), steps up to it, own (nodes of the subtree that are gone, itself included), between (those taken out on the way up), via (their names), n_children."""
+    up = links.select(F.col("child").alias("node"), "parent")
+    down = links.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return up.join(down, "node", "full_outer").select(
+        "node", "parent", F.lit(1).alias("steps"), one.alias("own"), none.alias("between"), F.array().cast(_NO_PATH).alias("via"), F.coalesce("n_children", none).alias("n_children"),
+        F.lit(None).cast("string").alias("only"), none.alias("only_between"), F.lit(STAYS).alias("what"),
+    )
+
+
+def _round(before: DataFrame, n: int, with_path: bool) -> DataFrame:
+    """What becomes of the nodes that stayed: `what` they are after round n."""
+    # Nodes taken out in the round before hand what they had to the child they were left with.
+    handed = before.filter(F.col("what") == BRIDGED).select(
+        F.col("only").alias("node"), F.col("parent").alias("new_parent"), F.col("steps").alias("more_steps"), (F.col("own") + F.col("between")).alias("more"), (_below(with_path, "via", F.array("node"))).alias("above")
+    )
+    got = F.col("new_parent").isNotNull()
+    live = before.filter(F.col("what") == STAYS).join(handed, "node", "left").select(
+        "node", F.coalesce("new_parent", "parent").alias("parent"), (F.col("steps") + F.coalesce("more_steps", F.lit(0))).alias("steps"), "own",
+        (F.col("between") + F.coalesce("more", F.lit(0))).alias("between"), F.when(got & F.lit(with_path), F.concat("above", "via")).otherwise(F.col("via")).alias("via"), "n_children",
+    )
+    leaf = F.col("n_children") == 0
+    sent = live.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(
+        F.sum(F.when(leaf, F.col("own") + F.col("between")).otherwise(0)).alias("got"), F.count(F.when(~leaf, 1)).alias("left"),
+        F.min(F.when(~leaf, F.struct(F.col("node").alias("c"), F.col("between").alias("b")))).alias("child"),
+    )
+    rank = lambda c: F.xxhash64(F.lit(n), c)
+    lone = (F.col("left") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
+    bridged = lone & (rank(F.col("node")) < rank(F.col("parent"))) & (rank(F.col("node")) < rank(F.col("child.c")))
+    return live.join(sent, "node", "left").select(
+        "node", "parent", "steps", (F.col("own") + F.coalesce("got", F.lit(0))).alias("own"), "between", "via", F.coalesce("left", F.lit(0)).alias("n_children"), F.col("child.c").alias("only"),
+        F.coalesce("child.b", F.lit(0)).alias("only_between"), F.when(leaf, PEELED).when(F.coalesce(bridged, F.lit(False)), BRIDGED).otherwise(STAYS).alias("what"),
+    )
+
+
+def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     """(node, root, depth, path, n_desc, state) of every node of links (child STRING, parent STRING).
 
     state: 'cycle' if going up from the node leads back to it, 'below_cycle' if it
-    leads to such a node, else 'ok'; root is '' , depth -1 and path null if not ok.
+    leads to such a node, else 'ok'; root is '', depth -1 and path null if not ok.
     path goes from the root to the node. n_desc counts the other nodes from which
     going up leads to the node.
 
     Repeated links count once; links with a null or empty end are no links; of
     several parents of a node the smallest counts. An empty table gives no rows.
     """
-    links = cut(_one_parent(links))
-    tops = links.select(F.col("parent").alias("child")).distinct().join(links, "child", "left_anti").withColumn("parent", F.lit(None).cast("string"))
-    # One row for each node; own: nodes of its subtree that are peeled, itself included.
-    active = cut(links.unionByName(tops).withColumn("own", F.lit(1).cast("bigint")))
-    left, peeled = active.count(), []
-    while left > finish_links:
-        for _ in range(ROUNDS_AT_ONCE):
-            inner = active.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-            marked = active.join(inner, "child", "left")
-            leaves = marked.filter(F.col("inner").isNull()).drop("inner")
-            sent = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("child")).agg(F.sum("own").alias("got"))
-            staying = marked.filter("inner").drop("inner").join(sent, "child", "left").select("child", "parent", (F.col("own") + F.coalesce("got", F.lit(0))).alias("own"))
-            both = cut(leaves.withColumn("leaf", F.lit(True)).unionByName(staying.withColumn("leaf", F.lit(False))))
-            peeled.append(both.filter("leaf").drop("leaf"))
-            active = both.filter(~F.col("leaf")).drop("leaf")
-        before, left = left, active.count()
-        if left > finish_links and left > STALLED * before:
-            return _with_peeled(_doubled(active, left, with_path), peeled, with_path)
-    done = active.coalesce(1).mapInPandas(_finish(with_path), _TOP)
-    return _with_peeled(done, peeled, with_path)
-
-
-def _with_peeled(done: DataFrame, peeled: list[DataFrame], with_path: bool) -> DataFrame:
-    """Hands root, depth, path and state from done down to the peeled levels, last peeled first."""
-    parts = [done]
-    known = done
-    for level in reversed(peeled):
-        up = known.select(F.col("node").alias("parent"), "root", "depth", "path", "state")
-        ok = (F.col("state") == "ok") | F.col("parent").isNull()
-        got = level.join(up, "parent", "left").select(
-            F.col("child").alias("node"),
-            F.when(F.col("parent").isNull(), F.col("child")).when(ok, F.col("root")).otherwise("").alias("root"),
-            F.when(F.col("parent").isNull(), 0).when(ok, F.col("depth") + 1).otherwise(-1).alias("depth"),
-            (F.when(F.col("parent").isNull(), F.array("child")).when(ok, F.concat("path", F.array("child"))) if with_path else F.lit(None).cast("array<string>")).alias("path"),
-            (F.col("own") - 1).alias("n_desc"),
-            F.when(ok, "ok").otherwise("below_cycle").alias("state"),
-        )
-        got = cut(got) if len(peeled) > 1 else got
-        parts.append(got)
-        known = known.unionByName(got)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _doubled(active: DataFrame, n: int, with_path: bool) -> DataFrame:
-    """Root, depth, path, subtree size and state of n nodes (child, parent, own) in log2(n) rounds.
-
-    After k rounds `far` is the ancestor 2^k steps up, `size` what hangs below in fewer
-    than 2^k steps: those at least 2^k steps below are what nodes with this one as
-    `far` have below them. What still has a `far` then is on a cycle or below one.
-    """
-    st = cut(active.select("child", "parent", "own", F.col("parent").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"), F.col("child").alias("top"), F.col("own").alias("size")))
-    reach = 1
-    while reach <= n:
-        up = st.select(F.col("child").alias("far"), F.col("far").alias("far2"), F.col("steps").alias("steps2"), F.col("top").alias("top2"))
-        got = st.filter(F.col("far").isNotNull()).groupBy(F.col("far").alias("child")).agg(F.sum("size").alias("got"))
-        on = F.col("far").isNotNull()
-        st = cut(
-            st.join(up, "far", "left").join(got, "child", "left").select(
-                "child", "parent", "own", F.col("far2").alias("far"), F.when(on, F.col("steps") + F.col("steps2")).otherwise(F.col("steps")).alias("steps"),
-                F.when(on, F.col("top2")).otherwise(F.col("top")).alias("top"), (F.col("size") + F.coalesce("got", F.lit(0))).alias("size"),
-            )
+    now = cut(_start(_one_parent(links)))
+    rounds: list[DataFrame] = []
+    going = not now.isEmpty()
+    while going:
+        now = cut(_round(now, len(rounds), with_path))
+        rounds.append(now)
+        # A round may take nothing away, by chance of the ranks; the end is when only rings of one node stay.
+        going = not now.filter(((F.col("what") == STAYS) & (F.col("parent").isNull() | (F.col("parent") != F.col("node")))) | (F.col("what") == BRIDGED)).isEmpty()
+    # All that is known lies in one folder, a part for each round, so that plans stay small.
+    null, spark, folder = F.lit(None).cast(_NO_PATH), links.sparkSession, f"{shared_dir(links.sparkSession)}/hierarchy-{uuid4().hex}"
+    rings = now.filter(F.col("what") == STAYS)
+    rings = rings.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("path"), (F.col("own") + F.col("between") - 1).alias("n_desc"), F.lit("cycle").alias("state"))
+    rings.write.parquet(f"{folder}/part={len(rounds)}")
+    for n in reversed(range(len(rounds))):
+        known = spark.read.schema(_TOP).parquet(f"{folder}/part=*")
+        _handed_down(rounds[n], known, with_path).write.parquet(f"{folder}/part={n}")
+    return spark.read.schema(_TOP).parquet(f"{folder}/part=*")
+
+
+def _handed_down(done: DataFrame, known: DataFrame, with_path: bool) -> DataFrame:
+    """The nodes peeled and bridged in one round, from those that were gone later."""
+    up = known.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"), F.col("state").alias("p_state"))
+    down = known.select(F.col("node").alias("only"), F.col("n_desc").alias("c_desc"), F.col("state").alias("c_state"))
+    top, on_ring = F.col("parent").isNull(), F.coalesce(F.col("c_state") == "cycle", F.lit(False))
+    ok = top | (F.col("p_state") == "ok")
+
+    def told(df: DataFrame, n_desc: Column, ring: Column) -> DataFrame:
+        return df.select(
+            "node", F.when(top, F.col("node")).when(ok, F.col("p_root")).otherwise("").alias("root"), F.when(top, 0).when(ok, F.col("p_depth") + F.col("steps")).otherwise(-1).alias("depth"),
+            F.when(top & F.lit(with_path), F.array("node")).when(ok, _below(with_path, "p_path", "via", F.array("node"))).alias("path"), n_desc.alias("n_desc"),
+            F.when(ring, "cycle").when(ok, "ok").otherwise("below_cycle").alias("state"),
         )
-        reach *= 2
-        if st.filter(F.col("far").isNotNull()).isEmpty():
-            break
-    null = F.lit(None).cast("array<string>")
-    ok = st.filter(F.col("far").isNull())
-    ok = _ways_up(ok) if with_path else ok.withColumn("path", null)
-    ok = ok.select(F.col("child").alias("node"), F.col("top").alias("root"), F.col("steps").alias("depth"), "path", (F.col("size") - 1).alias("n_desc"), F.lit("ok").alias("state"))
-    rest = st.filter(F.col("far").isNotNull()).select("child", "parent", "own", "size", "far")
-    on_cycle = cut(rest.select(F.col("far").alias("child")).distinct())
-    below = rest.join(on_cycle, "child", "left_anti")
-    hanging = below.groupBy(F.col("parent").alias("child")).agg(F.sum("size").alias("hangs"))
-    ring = rest.join(on_cycle, "child", "left_semi").join(hanging, "child", "left").select("child", "parent", (F.col("own") + F.coalesce("hangs", F.lit(0))).alias("own"))
-    lost = below.select(F.col("child").alias("node"), F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("path"), (F.col("size") - 1).alias("n_desc"), F.lit("below_cycle").alias("state"))
-    return ok.unionByName(lost).unionByName(_rings(ring))
-
-
-def _ways_up(nodes: DataFrame) -> DataFrame:
-    """nodes (child, parent, ..., none of them on or below a cycle) with path, from the root down, by doubling."""
-    st = cut(nodes.select("child", F.col("parent").alias("far"), F.array("child").alias("path")))
-    while not st.filter(F.col("far").isNotNull()).isEmpty():
-        up = st.select(F.col("child").alias("far"), F.col("far").alias("far2"), F.col("path").alias("path2"))
-        st = cut(st.join(up, "far", "left").select("child", F.col("far2").alias("far"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "path").alias("path")))
-    return nodes.join(st.select("child", "path"), "child")
-
-
-def _rings(active: DataFrame) -> DataFrame:
-    """Nodes of cycles only: each ring by its smallest node, found by doubling the way ahead."""
-    step = cut(active.select("child", "own", F.col("parent").alias("to"), F.least("child", "parent").alias("low")))
-    while True:
-        ahead = step.select(F.col("child").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        moved = cut(step.join(ahead, "to").select("child", "own", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
-        step = moved.drop("changed")
-        if moved.filter("changed").isEmpty():
-            break
-    sizes = step.groupBy("low").agg((F.sum("own") - 1).alias("n_desc"))
-    null = F.lit(None).cast("array<string>")
-    return step.join(sizes, "low").select(F.col("child").alias("node"), F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("path"), "n_desc", F.lit("cycle").alias("state"))
+
+    bridged = done.filter(F.col("what") == BRIDGED).join(up, "parent").join(down, "only")
+    bridged = told(bridged, F.when(on_ring, F.col("c_desc")).otherwise(F.col("own") + F.col("only_between") + F.col("c_desc")), on_ring)
+    more = bridged.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"), F.col("state").alias("p_state"))
+    peeled = told(done.filter(F.col("what") == PEELED).join(up.unionByName(more), "parent", "left"), F.col("own") - 1, F.lit(False))
+    return bridged.unionByName(peeled)
 
 
 def _ways_to_cycles(nodes: DataFrame) -> DataFrame:
