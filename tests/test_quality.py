@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import integer_key
 from weftgraph.functions.text import plain_form
-from weftgraph.operators import drift, duplicates, frequency, hierarchy, nested, orphans, skew, weighted
+from weftgraph.operators import drift, duplicates, frequency, hierarchy, nested, orphans, weighted
 
 
 def rows(df):
@@ -61,19 +61,27 @@ def test_orphans_of_empty_tables(spark):
     assert orphans.find_orphans(r, p).count() == 0
 
 
-def test_merged_intervals_and_runs(spark):
-    df = spark.createDataFrame([("k", 0, 5), ("k", 5, 8), ("k", 3, 4), ("k", 10, 12), ("k", 10, 11), ("j", 1, 2)], "key string, start long, end long")
-    assert rows(orphans.merge_intervals(df, ["key"], chunk=4)) == [("j", 1, 2), ("k", 0, 8), ("k", 10, 12)]
-    keys = spark.createDataFrame([("s", n) for n in (1, 2, 3, 7, 255, 256)], "space string, n long")
-    assert rows(orphans.key_runs(keys).select("lo", "hi")) == [(1, 3), (255, 255), (256, 256), (7, 7)]
+def test_key_runs(spark):
+    keys = spark.createDataFrame([("s", n) for n in (1, 2, 3, 7, 65535, 65536)], "space string, n long")
+    assert rows(orphans.key_runs(keys).select("lo", "hi")) == [(1, 3), (65535, 65535), (65536, 65536), (7, 7)]
 
 
-def test_heavy_keys_are_spread(spark):
-    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    heavy = skew.heavy_keys(df, "k")
-    assert [r["heavy_key"] for r in heavy.collect()] == ["hot"]
-    s = skew.with_slice(df, heavy, "k", F.col("id")).filter("k = 'hot'").groupBy("slice").count().collect()
-    assert len(s) > 100 and max(r["count"] for r in s) < 20
+@pytest.mark.parametrize("seed", range(2))
+def test_references_of_one_key_over_many_ranges(spark, seed):
+    """Ranges and batches smaller than a key's references: what a range begins with comes from those before."""
+    rnd = random.Random(seed)
+    keys = ["hot5", "hot6", "hot9", "a1", "z3"]
+    refs = [(i, "subject", rnd.choice(["hot5", "hot5", "hot6", *keys]), rnd.choice([7, None, *range(0, 60, 4)])) for i in range(900)]
+    parents = [("hot5", 3, 11), ("hot5", 20, 23), ("hot5", 4, 9), ("hot6", 30, None), ("a1", None, 5), ("hot7", 0, None)] + [("hot5", 1, s) for s in range(2, 40)] * seed
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(was, ("23", "false", "7")):
+        spark.conf.set(k, v)
+    try:
+        got = rows(orphans.find_orphans(spark.createDataFrame(refs, "ref_id long, field_name string, key string, at long"), spark.createDataFrame(parents, "key string, start long, end long")))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == _orphans(refs, parents)
 
 
 # 2 -------------------------------------------------------------------------------
