@@ -159,18 +159,7 @@ def _tagged_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    t = _tagged_sources(spark, d)
-    v = lambda k: F.col("payload")[k]
-    is_up = F.col("tag") == "upstream"
-    # The tables 'upstream' and 'source' (those without upstream ids) in one pass over the tagged rows.
-    return t.filter(is_up | (v("n_upstream") == "0")).select(
-        F.element_at("pk", 1).alias("edge_row"), F.element_at("pk", 2).alias("source_pos"), v("resource_key").alias("resource_key"), v("role_key").alias("role_key"),
-        F.when(is_up, F.get("pk", F.lit(2))).otherwise(-1).alias("upstream_pos"), F.when(is_up, v("parent_pos").cast("bigint")).otherwise(-1).alias("parent_pos"),
-    )
-
-
-def p3_written(spark: SparkSession, d: str) -> DataFrame:
-    """p3_found by way of files: the tables are written by tag, and schemas are applied on reading."""
+    """The tables of sources and of upstream mentions, written by tag in one pass; schemas are applied on reading."""
     path = f"{shared_dir(spark)}/tagged-{uuid4().hex}"
     nested.write_tagged(_tagged_sources(spark, d), path)
     keys = {"resource_key": "string", "role_key": "string"}
@@ -237,8 +226,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(1).cast("bigint")
     of_edges = edges.select(F.col("edge_row").alias("record"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), plain_form(f).alias("term")) for f in ("predicate", "knowledge_level")])).alias("e"))
     pairs = of_edges.select("e.field_name", "e.term", "record", one.alias("times"))
-    terms = nodes.select(F.col("node_row").alias("record"), F.explode(F.transform("category", lambda c: plain_form(c))).alias("term"))
-    pairs = pairs.unionByName(terms.select(F.lit("category").alias("field_name"), "term", "record", one.alias("times")))
+    # What repeats within a record is added up before the sort.
+    plain = F.transform("category", lambda c: plain_form(c))
+    each = F.transform(F.array_distinct("p"), lambda c: F.struct(c.alias("term"), F.size(F.filter("p", lambda x: x == c)).cast("bigint").alias("times")))
+    terms = nodes.select(F.col("node_row").alias("record"), plain.alias("p")).select("record", F.explode(each).alias("e"))
+    pairs = pairs.unionByName(terms.select(F.lit("category").alias("field_name"), "e.term", "record", "e.times"))
     n_edges, n_nodes = edges.count(), nodes.count()  # from the files' footers
     found = frequency.with_mark(frequency.term_frequencies(pairs), {"predicate": n_edges, "knowledge_level": n_edges, "category": n_nodes})
     return found.withColumnRenamed("term", "value_key")
@@ -323,8 +315,8 @@ _P7 = f"""{_STATEMENTS}, w as (select edge_row, min(edge_row) over (partition by
 select a as row_a, edge_row as row_b from w where a <> edge_row"""
 _P7_STATEMENTS = f"{_STATEMENTS} select min(edge_row) as edge_row, count(*) as n_copies from p where s <> '' and p <> '' and o <> '' group by s, p, o, q"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_written, p3_tables, p3_all_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_tables, p3_all_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
 SQL = {
     "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC, "p2_all_descendants": _P2_ALL_DESC,
-    "p3_found": _P3, "p3_written": _P3, "p3_tables": _P3_TABLES, "p3_all_tables": _P3_ALL_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
+    "p3_found": _P3, "p3_tables": _P3_TABLES, "p3_all_tables": _P3_ALL_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
 }
