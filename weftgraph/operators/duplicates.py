@@ -36,8 +36,8 @@ def collapse(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list
     Rows whose plain_cols do not all have a non-empty plain form are no statements
     and are left out of statements. Both groupings combine on the map side: a third of all rows
     being copies of one costs one row per task. keep writes raw to the shared folder, with
-    digests of its canonical texts (d1, d2) and in place of its raw columns (k1, k2), for those
-    who read both: rows are collapsed and made canonical once.
+    a digest (k1, k2) in place of its raw columns, for those who read both: rows are collapsed
+    and made canonical once.
     """
     cols = [*plain_cols, *value_cols]
     raw_names, canon_names = [f"r{i}" for i in range(len(cols))], [f"c{i}" for i in range(len(cols))]
@@ -46,9 +46,8 @@ def collapse(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list
     canon = [plain_form(r) if i < len(plain_cols) else canonical_value(F.col(r)) for i, r in enumerate(raw_names)]
     raw = raw.withColumns(dict(zip(canon_names, canon)))
     if keep:
-        d1, d2 = _digest(canon_names)
         k1, k2 = _digest(raw_names)
-        raw = kept(raw.withColumns({"d1": d1, "d2": d2, "k1": k1, "k2": k2}).drop(*raw_names))
+        raw = kept(raw.withColumns({"k1": k1, "k2": k2}).drop(*raw_names))
     statements = raw.groupBy(*canon_names).agg(F.min("first_raw").alias("first_row"), F.sum("n_raw").alias("n_copies"))
     whole = reduce(and_, [F.col(c) != "" for c in canon_names[: len(plain_cols)]])
     # Reads n_copies, so that it is not moved before the groupings and worked out twice.
@@ -76,7 +75,7 @@ def copies(df: DataFrame, row_id: str, plain_cols: list[str], value_cols: list[s
     repeated = statements.filter(F.col("n_copies") > 1).select(d1.alias("d1"), d2.alias("d2"), "first_row")
     of_raw = dict(zip(("k1", "k2"), _digest(raw_names)))
     # Different raw rows with other rows than the first one of their statement.
-    placed = raw.select("d1", "d2", "k1", "k2", "first_raw", "n_raw").join(repeated, ["d1", "d2"])
+    placed = raw.select(d1.alias("d1"), d2.alias("d2"), "k1", "k2", "first_raw", "n_raw").join(repeated, ["d1", "d2"])
     placed = placed.filter((F.col("n_raw") > 1) | (F.col("first_raw") != F.col("first_row"))).select("k1", "k2", F.col("first_row").alias("row_a"))
     rows = df.select(F.col(row_id).alias("row_b"), *[F.col(c).alias(r) for c, r in zip(cols, raw_names)]).select("row_b", *[v.alias(k) for k, v in of_raw.items()])
     # placed has one row for each different raw row: a heavy one is split on the side of the rows only (adaptive skew join).
