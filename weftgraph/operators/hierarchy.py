@@ -43,12 +43,12 @@ def _start(links: DataFrame) -> DataFrame:
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     return up.join(down, "node", "full_outer").select(
         "node", "parent", F.lit(1).alias("steps"), one.alias("own"), none.alias("between"), F.array().cast(_NO_PATH).alias("via"), F.coalesce("n_children", none).alias("n_children"),
-        F.lit(None).cast("string").alias("only"), none.alias("only_between"), F.lit(STAYS).alias("what"),
+        F.lit(None).cast("string").alias("only"), none.alias("only_between"), F.lit(STAYS).alias("what"), F.lit(0).alias("round"),
     )
 
 
-def _round(before: DataFrame, n: int, with_path: bool) -> DataFrame:
-    """What becomes of the nodes that stayed: `what` they are after round n."""
+def _round(before: DataFrame, with_path: bool) -> DataFrame:
+    """What becomes of the nodes that stayed: `what` they are after the round. Its number is a column, so that all rounds run the same compiled code."""
     # Nodes taken out in the round before hand what they had to the child they were left with.
     handed = before.filter(F.col("what") == BRIDGED).select(
         F.col("only").alias("node"), F.col("parent").alias("new_parent"), F.col("steps").alias("more_steps"), (F.col("own") + F.col("between")).alias("more"), (_below(with_path, "via", F.array("node"))).alias("above")
@@ -56,19 +56,19 @@ def _round(before: DataFrame, n: int, with_path: bool) -> DataFrame:
     got = F.col("new_parent").isNotNull()
     live = before.filter(F.col("what") == STAYS).join(handed, "node", "left").select(
         "node", F.coalesce("new_parent", "parent").alias("parent"), (F.col("steps") + F.coalesce("more_steps", F.lit(0))).alias("steps"), "own",
-        (F.col("between") + F.coalesce("more", F.lit(0))).alias("between"), F.when(got & F.lit(with_path), F.concat("above", "via")).otherwise(F.col("via")).alias("via"), "n_children",
+        (F.col("between") + F.coalesce("more", F.lit(0))).alias("between"), F.when(got & F.lit(with_path), F.concat("above", "via")).otherwise(F.col("via")).alias("via"), "n_children", "round",
     )
     leaf = F.col("n_children") == 0
     sent = live.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(
         F.sum(F.when(leaf, F.col("own") + F.col("between")).otherwise(0)).alias("got"), F.count(F.when(~leaf, 1)).alias("left"),
         F.min(F.when(~leaf, F.struct(F.col("node").alias("c"), F.col("between").alias("b")))).alias("child"),
     )
-    rank = lambda c: F.xxhash64(F.lit(n), c)
+    rank = lambda c: F.xxhash64(F.col("round"), c)
     lone = (F.col("left") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
     bridged = lone & (rank(F.col("node")) < rank(F.col("parent"))) & (rank(F.col("node")) < rank(F.col("child.c")))
     return live.join(sent, "node", "left").select(
         "node", "parent", "steps", (F.col("own") + F.coalesce("got", F.lit(0))).alias("own"), "between", "via", F.coalesce("left", F.lit(0)).alias("n_children"), F.col("child.c").alias("only"),
-        F.coalesce("child.b", F.lit(0)).alias("only_between"), F.when(leaf, PEELED).when(F.coalesce(bridged, F.lit(False)), BRIDGED).otherwise(STAYS).alias("what"),
+        F.coalesce("child.b", F.lit(0)).alias("only_between"), F.when(leaf, PEELED).when(F.coalesce(bridged, F.lit(False)), BRIDGED).otherwise(STAYS).alias("what"), (F.col("round") + 1).alias("round"),
     )
 
 
@@ -87,7 +87,7 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     rounds: list[DataFrame] = []
     going = not now.isEmpty()
     while going:
-        now = cut(_round(now, len(rounds), with_path))
+        now = cut(_round(now, with_path))
         rounds.append(now)
         # A round may take nothing away, by chance of the ranks; the end is when only rings of one node stay.
         going = not now.filter(((F.col("what") == STAYS) & (F.col("parent").isNull() | (F.col("parent") != F.col("node")))) | (F.col("what") == BRIDGED)).isEmpty()
