@@ -41,7 +41,7 @@ def p9_changed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.assign_subjects(_table(spark, d, "documents"), _table(spark, d, "area_labels"))
+    return subjects.assign_subjects(_table(spark, d, "documents"), _table(spark, d, "area_labels"), _table(spark, d, "areas"))
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:

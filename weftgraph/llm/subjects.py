@@ -1,8 +1,11 @@
 """Subject areas of documents.
 
 Weighted subject terms (words and pairs of words) are matched by a multi-pattern
-automaton in what the author wrote. A term's weight for an area grows with how
-much more often labelled documents of the area have it, and with its rarity; the
+automaton in what the author wrote. Curators give the areas' descriptions and label
+documents: a term's weight for an area grows with how much more often labelled
+documents of the area have it, and with its rarity. Words that all areas have alike
+so get no weight; whole sentences that are spread over areas (figures of speech,
+greetings) are left out. The
 terms of a sentence decide on the sentence's area, and an area's evidence is
 normalised by the length (sentences with subject terms) of the document. Every
 area whose evidence exceeds thresholds calibrated on labelled documents is
@@ -25,48 +28,23 @@ from weftgraph.llm.posts import own_text
 
 #: Labelled documents that terms and thresholds are fitted on, at most (a sample by hash of the id).
 MOST_LABELLED = 20_000
-#: Below so many labelled documents, terms are fitted a second time, with documents that the first fit is sure of.
-FEW_LABELS = 5_000
-#: Terms that are kept, at most: those on most labelled documents.
-MOST_TERMS = 60_000
+#: One in so many of them is held back from the terms while thresholds are calibrated on it.
+HELD_BACK = 5
 SMALL_TALK = "everyday"
-#: Figures of speech that say nothing of the subject, in plain words.
-FIGURES = frozenset(
-    [
-        "that ship has sailed", "the jury is still out on this one", "it's not rocket science", "take it with a grain of salt", "i'd bet my last penny",
-        "just what the doctor ordered", "that's a whole different ball game", "no need to reinvent the wheel",
-    ]
-)
-#: Curated terms with a weight of their own, for corpora of few labels.
-CURATED = {
-    "science": "experiment hypothesis molecule telescope galaxy particle Experiment Hypothese Teleskop experimento telescopio molécula",
-    "law": "lawsuit plaintiff verdict attorney statute subpoena Klage Urteil Anwalt demanda abogado sentencia",
-    "sport": "goalkeeper midfielder tournament referee stadium playoff Torwart Schiedsrichter Elfmeter portero árbitro penalti",
-    "software": "database compiler repository backend framework deployment Datenbank Schnittstelle Skript servidor compilador depurador",
-    "medicine": "diagnosis antibiotic vaccine surgeon prescription dosage Impfung Fieber Dosis vacuna receta cirugía",
-    "finance": "dividend portfolio mortgage broker inflation equity Kredit Dividende Sparkonto hipoteca dividendo préstamo",
-    "cooking": "saucepan marinade oregano casserole broth dough Knoblauch Pfanne Hefe ajo cebolla sartén",
-    "travel": "passport itinerary luggage hostel airport visa Gepäck Reisepass Flughafen equipaje pasaporte aeropuerto",
-    "music": "melody guitar octave drummer bassline amplifier Gitarre Verstärker Melodie guitarra batería amplificador",
-    "gardening": "compost seedling greenhouse topsoil trellis mulch Kompost Gewächshaus Setzling abono maceta invernadero",
-    "shopping": "discount voucher cashback refund wholesale bargain Gutschein Rabatt Versand descuento cupón oferta",
-}
+#: Stands before a term that is a whole sentence.
+WHOLE = "="
+#: A sentence is a set phrase if none of its areas has more than this share of its documents.
+SPREAD = 0.5
 #: By so much weight the first area of a sentence must exceed the second one to be sure of.
 CLEAR = 2.0
-#: Words of greetings, thanks and chat; they keep at least this weight, as every subject's posts end with them.
-CHAT = "thanks hello welcome morning weekend tired tomorrow feeling missed sorry reply lol bump agreed raining danke guten schönes müde gracias buenos feliz frío pasa".split()
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?…\n]+")
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words of every sentence in lower case, without figures of speech."""
-    out = []
-    for s in _SENTENCE.split(text):
-        words = [w.lower().replace("’", "'") for w in _WORD.findall(s)]
-        if words and " ".join(words) not in FIGURES:
-            out.append(words)
-    return out
+    """Words of every sentence in lower case."""
+    every = ([w.lower().replace("’", "'") for w in _WORD.findall(s)] for s in _SENTENCE.split(text))
+    return [words for words in every if words]
 
 
 #: Frequent words by which a text's language is told; each language has its own shares of areas.
@@ -83,10 +61,10 @@ def language(words: list[str]) -> str:
 
 
 def _count_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, lang, area, n): documents of one label that have the term; term '' counts the documents."""
-    counts: dict[tuple[str, str, str], int] = defaultdict(int)
+    """(term, lang, area, held, n): documents of one label that have the term; term '' counts the documents."""
+    counts: dict[tuple[str, str, str, bool], int] = defaultdict(int)
     for p in parts:
-        for text, areas in zip(p["text"], p["areas"]):
+        for text, areas, held in zip(p["text"], p["areas"], p["held"]):
             own = own_text(text)
             if len(areas) != 1 or not own:
                 continue
@@ -96,13 +74,24 @@ def _count_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for ws in said:
                 terms.update(ws)
                 terms.update(f"{a} {b}" for a, b in zip(ws, ws[1:]))
+                terms.add(WHOLE + " ".join(ws))
             for t in terms:
-                counts[t, lang, areas[0]] += 1
-    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["term", "lang", "area", "n"])
+                counts[t, lang, areas[0], bool(held)] += 1
+    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["term", "lang", "area", "held", "n"])
+
 
+def curated(descriptions: dict[str, str]) -> dict[str, dict[str, float]]:
+    """Terms that the areas' own descriptions name, each of one area only; what labels say of a term counts more."""
+    areas_of: dict[str, set[str]] = defaultdict(set)
+    for area, text in descriptions.items():
+        for ws in sentences(text or ""):
+            for w in {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))} - FUNCTION_WORDS["en"]:
+                areas_of[w].add(area)
+    return {w: {min(a): 2.0} for w, a in areas_of.items() if len(a) == 1}
 
-def weigh(counts: pd.DataFrame) -> dict[str, dict[str, float]]:
-    """Weights of terms from (term, lang, area, n).
+
+def weigh(counts: pd.DataFrame, known: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    """Weights of terms from (term, lang, area, n), and from those known before.
 
     The log of how much likelier the area is with the term than in the language of
     the documents that have it, lowered for terms that are not rare.
@@ -110,8 +99,9 @@ def weigh(counts: pd.DataFrame) -> dict[str, dict[str, float]]:
     totals: dict[tuple[str, str], int] = {}
     by_term: dict[str, dict[tuple[str, str], int]] = defaultdict(dict)
     for t, lang, a, n in counts[["term", "lang", "area", "n"]].itertuples(index=False):
-        (by_term[t] if t else totals)[lang, a] = int(n)
-    n_docs = sum(totals.values())
+        cells = by_term[t] if t else totals
+        cells[lang, a] = cells.get((lang, a), 0) + int(n)
+    n_docs = max(1, sum(totals.values()))
     of_lang: dict[str, int] = defaultdict(int)
     of_area: dict[str, int] = defaultdict(int)
     for (lang, a), n in totals.items():
@@ -119,14 +109,18 @@ def weigh(counts: pd.DataFrame) -> dict[str, dict[str, float]]:
         of_area[a] += n
     # Shares in a language lean on those in all languages, as if by ten more documents.
     prior = {(lang, a): (totals.get((lang, a), 0) + 10 * of_area[a] / n_docs) / (of_lang[lang] + 10) for lang in of_lang for a in of_area}
-    lexicon: dict[str, dict[str, float]] = {}
-    for area, words in CURATED.items():
-        for w in words.lower().split():
-            lexicon[w] = {area: 2.0}
+    lexicon = dict(known)
     for t, cells in by_term.items():
         df = sum(cells.values())
         if df < 3:
             continue
+        if t.startswith(WHOLE):
+            per_area = defaultdict(int)
+            for (_, a), n in cells.items():
+                per_area[a] += n
+            if max(per_area.values()) <= SPREAD * df:
+                lexicon[t] = {}
+            continue
         rarity = min(1.0, math.log(n_docs / df + 1) / math.log(12))
         expected: dict[str, float] = defaultdict(float)
         got: dict[str, int] = defaultdict(int)
@@ -143,8 +137,6 @@ def weigh(counts: pd.DataFrame) -> dict[str, dict[str, float]]:
             lexicon[t] = weights
         elif df >= 6:
             lexicon.pop(t, None)
-    for w in CHAT:
-        lexicon[w] = {SMALL_TALK: max(3.0, lexicon.get(w, {}).get(SMALL_TALK, 0.0))}
     return lexicon
 
 
@@ -153,15 +145,18 @@ class Matcher:
 
     def __init__(self, lexicon: dict[str, dict[str, float]]) -> None:
         self.automaton = ahocorasick.Automaton()
-        for t, w in lexicon.items():
+        self.set_phrases = {t[len(WHOLE) :] for t in lexicon if t.startswith(WHOLE)}
+        terms = [(t, w) for t, w in lexicon.items() if w]
+        for t, w in terms:
             self.automaton.add_word(f" {t} ", (t, w))
-        if lexicon:
+        if terms:
             self.automaton.make_automaton()
-        self.empty = not lexicon
+        self.empty = not terms
 
     def evidence(self, text: str) -> tuple[dict[str, tuple[int, float]], int, int]:
-        """For each area its sentences and their weight; the sentences with any area; all sentences."""
-        said = sentences(text)
+        """For each area its sentences and their weight; the sentences with any area; all sentences. Set phrases say nothing."""
+        every = sentences(text)
+        said = [ws for ws in every if " ".join(ws) not in self.set_phrases]
         votes_of: list[dict[str, float]] = []
         clear: dict[str, float] = defaultdict(float)
         for ws in said:
@@ -185,7 +180,7 @@ class Matcher:
                 if votes[a] >= 1.5:
                     found.setdefault(a, []).append(votes[a])
         found.pop(SMALL_TALK, None)
-        return {a: (len(v), sum(v)) for a, v in found.items()}, sum(map(len, found.values())), len(said)
+        return {a: (len(v), sum(v)) for a, v in found.items()}, sum(map(len, found.values())), len(every)
 
 
 def decide(evidence: dict[str, tuple[int, float]], n_subject: int, n_all: int, share: float, least: int) -> list[str]:
@@ -196,29 +191,12 @@ def decide(evidence: dict[str, tuple[int, float]], n_subject: int, n_all: int, s
     return sorted(a for a, v in evidence.items() if v[0] >= least or v[0] >= share * n_subject or v == best)
 
 
-def _fit(sample: DataFrame) -> dict[str, dict[str, float]]:
-    """The lexicon of labelled texts (text, areas); terms are counted by the executors."""
-    counts = sample.select("text", "areas").mapInPandas(_count_terms, "term string, lang string, area string, n bigint").groupBy("term", "lang", "area").agg(F.sum("n").alias("n"))
-    often = counts.groupBy("term").agg(F.sum("n").alias("df")).filter("df >= 3 or term = ''").orderBy(F.desc("df"), "term").limit(MOST_TERMS)
-    return weigh(counts.join(often, "term", "left_semi").toPandas())
-
-
-def _teacher(lexicon):
-    """Texts with the one area that nearly all their sentences with a subject have."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(lexicon.value)
-        for p in parts:
-            rows = []
-            for d, text in zip(p["doc_id"], p["text"]):
-                own = own_text(text)
-                if own and (ev := m.evidence(own)[0]):
-                    a = max(ev, key=lambda k: (ev[k], k))
-                    if ev[a][0] >= 3 and ev[a][0] >= 0.8 * sum(v[0] for v in ev.values()):
-                        rows.append((d, text, [a]))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "areas"])
-
-    return run
+def _counted(sample: DataFrame) -> pd.DataFrame:
+    """What executors count in the labelled texts (text, areas, held): terms of three documents or more, which are few as the texts are."""
+    counts = sample.select("text", "areas", "held").mapInPandas(_count_terms, "term string, lang string, area string, held boolean, n bigint")
+    counts = counts.groupBy("term", "lang", "area", "held").agg(F.sum("n").alias("n"))
+    often = counts.groupBy("term").agg(F.sum("n").alias("df")).filter("df >= 3 or term = ''").select("term")
+    return counts.join(often, "term", "left_semi").toPandas()
 
 
 def _scorer(lexicon):
@@ -261,29 +239,34 @@ def _calibrate(scored: list, truth: dict[int, set[str]]) -> tuple[float, int]:
     return best[1], best[2]
 
 
-def assign_subjects(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def assign_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, area) of every document that has any.
 
-    docs: doc_id, text; labels: doc_id, area. Null, blank and removed texts have no
-    row, nor have texts of nothing but quotes. Terms and thresholds are fitted on a
-    bounded sample of labelled documents; all documents are matched, whole. Repeated
-    labels count once; with few or no labels the curated terms begin, and documents
-    that are sure by them teach the others.
+    docs: doc_id, text; labels: doc_id, area; areas: area, description. Null, blank and
+    removed texts have no row, nor have texts of nothing but quotes. Terms and
+    thresholds are fitted on about most_labelled labelled documents, those of the
+    smallest hashes of their ids; all documents are matched, whole. Repeated labels
+    count once. Thresholds are calibrated on labelled documents that the terms then
+    used have not seen. Without labels only the terms of the descriptions count;
+    without those, too, every text is small talk.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    areas = labels.select("doc_id", "area").filter(F.col("area").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
-    chosen = areas.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = docs.join(F.broadcast(chosen), "doc_id")  # at most most_labelled short rows
-    lexicon = spark.sparkContext.broadcast(_fit(sample))
-    if chosen.count() < FEW_LABELS:
-        # Few labels: documents that the first terms agree on teach the others.
-        more = docs.select("doc_id").join(areas, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-        first = docs.join(F.broadcast(more), "doc_id").mapInPandas(_teacher(lexicon), "doc_id bigint, text string, areas array<string>")
-        lexicon = spark.sparkContext.broadcast(_fit(sample.select("doc_id", "text", "areas").unionByName(first)))
-    scored = sample.select("doc_id", "text").mapInPandas(_scorer(lexicon), _SCORED).collect()
-    truth = {r["doc_id"]: set(r["areas"]) for r in chosen.collect()}
+    # One short text for each area.
+    known = curated({r["area"]: r["description"] for r in areas.filter(F.col("area").isNotNull()).select("area", "description").collect()}) if areas is not None else {}
+    labelled = labels.select("doc_id", "area").filter(F.col("area").isNotNull())
+    n = labelled.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    at = F.xxhash64("doc_id")
+    if n > most_labelled:
+        labelled = labelled.filter(at < F.lit(int((most_labelled / n - 0.5) * 2.0**64)))
+    chosen = labelled.groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas")).withColumn("held", F.pmod(at, F.lit(HELD_BACK)) == 0)
+    sample = docs.join(F.broadcast(chosen), "doc_id")  # about most_labelled short rows
+    counts = _counted(sample)
+    judge = spark.sparkContext.broadcast(weigh(counts[~counts["held"]], known))
+    scored = sample.filter("held").select("doc_id", "text").mapInPandas(_scorer(judge), _SCORED).collect()
+    truth = {r["doc_id"]: set(r["areas"]) for r in chosen.filter("held").collect()}
     share, least = _calibrate(scored, truth)
+    lexicon = spark.sparkContext.broadcast(weigh(counts, known))
 
     def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(lexicon.value)
