@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -53,5 +54,52 @@ def test_verbatim_pairs_against_brute_force(spark, seed):
     assert [(d, i) for d, i, v, _ in _found(spark, docs, items) if v] == _brute(docs, items)
 
 
+def _replaced(passage, known, lower):
+    """The passage with other numbers, units and names, each always the same."""
+
+    def other(w):
+        t = L.template_of(w.lower(), known)
+        if t == L.NUMBER:
+            return str(int(w) + 7) if w.isdigit() else {"two": "nine", "three": "eight"}.get(w.lower(), "eleven")
+        return "weeks" if t == L.UNIT else "Q" + w[::-1].lower() if t == L.NAME else w
+
+    out = L.WORD.sub(lambda m: other(m.group()), passage)
+    return out.lower() if lower else out
+
+
+def test_recall_of_reparameterised_passages(spark):
+    """Every item's passage with other values, in a post of its own, as written and in lower case."""
+    path = "/root/testdata/sf0.1/eval_items.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    items = [(r["item_id"], r["passage"]) for r in spark.read.parquet(path).collect()]
+    known = {}
+    for _, p in items:
+        for w in L.words_of(p or ""):
+            known[w.lower()] = known.get(w.lower(), True) and w[:1].isupper()
+    docs, wanted = [], set()
+    for i, p in items:
+        for lower in (False, True):
+            d = 2 * i + lower
+            docs.append((d, f"Hello all, <b>seen</b> this?\n{_replaced(p, known, lower)}\nwhat do you say"))
+            forms = [L.template_of(w.lower(), known) for w in L.words_of(p)]
+            slots = [sum(t in (L.NUMBER, L.NAME, L.UNIT) for t in forms[k : k + 12]) for k in range(len(forms) - 11)]
+            if any(0 < n <= 12 - L.LEAST_PLAIN for n in slots):
+                wanted.add((d, i))
+    got = {(d, i) for d, i, _, c in _found(spark, docs, items) if c}
+    assert len(wanted) > 200 and len(got & wanted) / len(wanted) >= 0.9
+    shared = {p: {i for i, q in items if q == p} for _, p in items}
+    of = dict(items)
+    assert sum(i in shared[of[d // 2]] for d, i in got) / len(got) >= 0.9
+
+
+def test_blocks_of_items(spark):
+    items = [(i, " ".join(f"w{(i * 7 + k) % 50}x" for k in range(30))) for i in range(9)]
+    docs = [(i, "so " + p) for i, p in items]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    whole, parts = (sorted(map(tuple, L.find_leaks(d, "doc_id", "text", it, "item_id", "passage", n).filter("n_verbatim > 0").select("doc_id", "item_id").collect())) for n in (10_000, 60))
+    assert whole == parts == _brute(docs, items)
+
+
 def test_empty_tables(spark):
     assert _found(spark, [(1, ITEM)], []) == [] and _found(spark, [], [(1, ITEM)]) == []
