@@ -5,6 +5,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftgraph.llm import tokenizer
 
@@ -36,33 +37,36 @@ def test_any_text(enc, other, text):
     assert enc.encode(text) == other.encode_ordinary(text)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.binary(max_size=60), st.binary(max_size=20), st.integers(0, 60), st.integers(0, 20))
-def test_tables_after_appends_and_edits(enc, raw, new, start, cut):
-    last = []
-    enc.fill(raw, last)
-    assert b"".join(enc.bytes_of[i] for i in enc.walk_back(last)) == raw
-    start = min(start, len(raw))
-    stop = min(len(raw), start + cut)
-    edited, table = enc.replace(raw, last, start, stop, new)
-    fresh = []
-    enc.fill(edited, fresh)
-    assert edited == raw[:start] + new + raw[stop:] and table == fresh
-    grown = list(last)
-    joined = enc.append(raw, grown, new)
-    fresh = []
-    enc.fill(joined, fresh)
-    assert grown == fresh
-
-
-def test_long_edit_is_followed_only_nearby(enc):
-    raw = b"the quick brown fox jumps over the lazy dog " * 200
-    last = []
-    enc.fill(raw, last)
-    edited, table = enc.replace(raw, last, 100, 105, b"zebra")
-    fresh = []
-    enc.fill(edited, fresh)
-    assert table == fresh
+PIECES = st.lists(st.sampled_from(["'", "'l", "l", "'ll", "s", " ", "  ", "\n", "\t ", "don't", "I'LL", "word", " 12", "3", "!", "?!", "é", "日本", "\u00a0", "👩", "-", "t"]), max_size=12).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(PIECES, PIECES, PIECES, PIECES)
+def test_appends_and_edits_equal_whole_texts(enc, other, a, b, c, new):
+    """Against the tokenizer on the whole new text."""
+    e = tokenizer.EncodedText(enc, a + b + c)
+    assert e.ids == other.encode_ordinary(a + b + c)
+    e.replace(len(a), len(a + b), new)
+    assert e.text == a + new + c and e.ids == other.encode_ordinary(a + new + c)
+    e.append(b)
+    assert e.text == a + new + c + b and e.ids == other.encode_ordinary(e.text)
+
+
+def test_long_edit_is_followed_only_nearby(enc, other):
+    e = tokenizer.EncodedText(enc, "the quick brown fox jumps over the lazy dog " * 200)
+    e.replace(100, 105, "zebra")
+    assert e.encoded < 30 and e.ids == other.encode_ordinary(e.text)
+    e = tokenizer.EncodedText(enc, "a" * 3000)
+    e.append("bcd")
+    assert e.encoded == 3 and e.ids == other.encode_ordinary(e.text)
+
+
+def test_reposts(spark, other):
+    texts = ["Hello there,  my friend's dog", "hello THERE my friends dog!", "Hello there,  my friend's dog", None, "", "?!", "?!", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("t", F.lit(1))
+    got = {r["doc_id"]: r for r in tokenizer.reposts(df, "doc_id", "text", PATH).collect()}
+    assert set(got) == {1, 2} and all(r["original"] == 0 and list(r["ids"]) == other.encode_ordinary(texts[i]) for i, r in got.items()) and got[2]["n_encoded"] == 0
+    assert tokenizer.reposts(df.limit(0), "doc_id", "text", PATH).count() == 0
 
 
 def test_corpus(spark, enc):

@@ -23,8 +23,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Documents and tokens of each board."""
-    ids = tokenizer.encode_corpus(_table(spark, d, "documents"), "doc_id", "text", f"{VOCABULARIES}/byte_bpe_50k.tiktoken").select("doc_id", F.size("ids").alias("n"))
-    return _table(spark, d, "documents").select("doc_id", "source").join(ids, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
+    ids = tokenizer.encode_corpus(_table(spark, d, "documents"), "doc_id", "text", f"{VOCABULARIES}/byte_bpe_50k.tiktoken", ("source",))
+    return ids.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"))
+
+
+def p8_reposts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of posts that repeat another but for formatting, from the tables of the original."""
+    return tokenizer.reposts(_table(spark, d, "documents"), "doc_id", "text", f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +54,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).groupBy("area").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_by_source, p9_found, p9_changed, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_by_source, p8_reposts, p9_found, p9_changed, p10_found, p10_shares)}
 _WORDS = r"regexp_extract_all(lower(regexp_replace(regexp_replace({}, '<[^<>]{{0,60}}>|\[[^\[\]]{{0,60}}\]|&[A-Za-z0-9#]{{1,8}};', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+')"
 SQL = {
     "p9_found": f"""with dw as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),

@@ -14,7 +14,9 @@ vocabulary does not grow with the corpus).
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
 import regex
@@ -87,27 +89,6 @@ class PrefixEncoder:
         self.fill(raw, last)
         return self.walk_back(last)
 
-    def append(self, raw: bytes, last: list[int], more: bytes) -> bytes:
-        """The joined bytes; the table is extended by as many entries as there are new bytes."""
-        raw += more
-        self.fill(raw, last)
-        return raw
-
-    def replace(self, raw: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
-        """raw with raw[start:stop] replaced, and its table.
-
-        Behind the edit the table is computed until `longest` entries on end are
-        the old ones again: from there on nothing can differ.
-        """
-        out = raw[:start] + new + raw[stop:]
-        table, shift = last[:start], len(new) - (stop - start)
-        same = 0
-        while len(table) < len(out) and same < self.longest:
-            self.fill(out, table, len(table) + 1)
-            at = len(table) - 1
-            same = same + 1 if at >= start + len(new) and last[at - shift] == table[at] else 0
-        return out, table + last[len(table) - shift :] if len(table) < len(out) else table
-
     def encode(self, text: str) -> list[int]:
         """Ids of a text without special tokens; lone surrogates become the replacement character."""
         ids: list[int] = []
@@ -127,11 +108,94 @@ class PrefixEncoder:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
 
+def _looked_at(text: str, start: int, end: int) -> int:
+    """How far the piece text[start:end] may have been decided by what stands there: a contraction looks three characters ahead, blanks look at the end of their run and the next character."""
+    if text[start].isspace():
+        while end < len(text) and text[end].isspace():
+            end += 1
+    return max(end + 1, start + 4)
+
+
+class EncodedText:
+    """A text with its pieces and their tables of last tokens, so that appends and edits encode only what is near them.
+
+    The pattern has no look-behind: from one border on, equal rests are cut alike. A
+    piece that was decided before an edit's begin stays; behind the edit cutting stops
+    where a border of the old text is met. A piece that only grew at its end goes on
+    with its own table.
+    """
+
+    def __init__(self, enc: PrefixEncoder, text: str) -> None:
+        self.enc, self.text = enc, text
+        self.borders: list[int] = [0]
+        self.tables: list[list[int]] = []
+        #: Bytes that the last change took to encode.
+        self.encoded = 0
+        self._cut(0, lambda at: False)
+
+    def _raw(self, a: int, b: int) -> bytes:
+        return self.text[a:b].encode("utf-8", "replace")
+
+    def _cut(self, at: int, enough, grown: tuple[bytes, list[int]] | None = None) -> None:
+        """Cuts and encodes from the last border, `at`, on, until the end or a border that is enough."""
+        for m in self.enc.split.finditer(self.text, at):
+            raw = self._raw(m.start(), m.end())
+            table: list[int] = []
+            if grown and m.start() == at and raw.startswith(grown[0]):
+                table = list(grown[1])
+            self.encoded += len(raw) - len(table)
+            self.enc.fill(raw, table)
+            self.tables.append(table)
+            self.borders.append(m.end())
+            if enough(m.end()):
+                return
+
+    def replace(self, start: int, stop: int, new: str) -> None:
+        """Puts new in the place of text[start:stop]."""
+        old, borders, tables = self.text, self.borders, self.tables
+        keep = bisect_right(borders, start) - 1
+        while keep > 0 and _looked_at(old, borders[keep - 1], borders[keep]) > start:
+            keep -= 1
+        # What comes before a decided piece is decided, too: no piece looks further ahead than the one behind it.
+        self.text, shift = old[:start] + new + old[stop:], len(new) - (stop - start)
+        self.borders, self.tables, self.encoded = borders[: keep + 1], tables[:keep], 0
+        at, met = borders[keep], []
+
+        def enough(end: int) -> bool:
+            i = bisect_left(borders, end - shift) if end >= start + len(new) else len(borders)
+            if i < len(borders) and borders[i] == end - shift and borders[i] >= stop:
+                met.append(i)
+                return True
+            return False
+
+        grown = None
+        if keep < len(tables) and borders[keep + 1] <= start:
+            grown = (old[at : borders[keep + 1]].encode("utf-8", "replace"), tables[keep])
+        if not (start + len(new) == at and enough(at)):
+            self._cut(at, enough, grown)
+        if met:
+            self.borders += [b + shift for b in borders[met[0] + 1 :]]
+            self.tables += tables[met[0] :]
+
+    def append(self, more: str) -> None:
+        self.replace(len(self.text), len(self.text), more)
+
+    @property
+    def ids(self) -> list[int]:
+        return [i for t in self.tables for i in self.enc.walk_back(t)]
+
+
 _encoders: dict[str, PrefixEncoder] = {}
 
 
-def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
-    """(key, ids): every row with the ids of its text.
+def _encoder(vocabulary: str, ranks) -> PrefixEncoder:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = PrefixEncoder(ranks.value)
+    return _encoders[vocabulary]
+
+
+def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, the columns more, ids): every row with the ids of its text.
 
     Null and empty texts have the empty list; blank ones are encoded like any
     other, and strings that look like special tokens are ordinary text. Rows are
@@ -141,11 +205,44 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str) -> Data
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = PrefixEncoder(ranks.value)
-        enc = _encoders[vocabulary]
+        enc = _encoder(vocabulary, ranks)
         for p in parts:
-            yield pd.DataFrame({key: p[key], "ids": [enc.encode(t) if isinstance(t, str) else [] for t in p["t"]]})
+            ids = [enc.encode(t) if isinstance(t, str) else [] for t in p["_text"]]
+            yield p.drop(columns="_text").assign(ids=ids)
+
+    cols = list(dict.fromkeys([key, *more]))
+    schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(*cols, F.col(text).alias("_text")).mapInPandas(run, schema)
+
 
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(key), F.col(text).alias("t")).mapInPandas(run, schema)
+def reposts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
+    """(key, original, ids, n_encoded): documents whose text is that of another but for letter case, blanks and punctuation, encoded by editing the tables of the original (the smallest key).
+
+    n_encoded: bytes that were encoded for the ids, of all of the text's. Texts
+    without letters and digits, and originals, have no row. A document meets one
+    original, whatever the number of copies; equal texts are edited by nothing.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    plain = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    of = docs.filter(plain != "").select(F.col(key), F.col(text).alias("t"), F.xxhash64(plain).alias("d1"), F.xxhash64(F.lit(7), plain).alias("d2"))
+    first = of.groupBy("d1", "d2").agg(F.min(F.struct(F.col(key).alias("k"), F.col("t").alias("t"))).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = of.join(first, ["d1", "d2"]).filter(F.col(key) != F.col("f.k")).select(key, F.col("f.k").alias("original"), F.col("t").alias("new_text"), F.col("f.t").alias("old_text"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _encoder(vocabulary, ranks)
+        for p in parts:
+            ids, cost = [], []
+            for old, new in zip(p["old_text"], p["new_text"]):
+                e = EncodedText(enc, old)
+                e.encoded = 0
+                head = len(commonprefix([old, new]))
+                tail = len(commonprefix([old[head:][::-1], new[head:][::-1]]))
+                if old != new:
+                    e.replace(head, len(old) - tail, new[head : len(new) - tail])
+                ids.append(e.ids)
+                cost.append(e.encoded)
+            yield pd.DataFrame({key: p[key], "original": p["original"], "ids": ids, "n_encoded": cost})
+
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("original", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_encoded", T.LongType())])
+    return pairs.mapInPandas(run, schema)
