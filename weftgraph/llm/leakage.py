@@ -85,6 +85,7 @@ class _Reader:
         self.known, self.hashes = known, hashes
         self.codes: dict[str, int] = {}
         self.name = self._code(NAME)
+        self.slots = np.array([self._code(t) for t in (NUMBER, NAME, UNIT)], np.uint64)
 
     def _code(self, template: str) -> int:
         return xxhash.xxh3_64_intdigest(template)
@@ -127,7 +128,7 @@ class _Reader:
         inside = of[WINDOW - 1 :] == of[: len(of) - WINDOW + 1]
         readings = [(codes, None)]
         if as_written:
-            capital = np.fromiter((w[0].isupper() and template_of(x, self.known) == x for w, x in zip(words, lows)), bool, len(words))
+            capital = np.fromiter((w[0].isupper() for w in words), bool, len(words)) & ~np.isin(codes, self.slots)
             readings.append((np.where(capital, np.uint64(self.name), codes), capital))
         out = []
         for values, capital in readings:
