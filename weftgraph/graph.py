@@ -35,20 +35,38 @@ class KnowledgeGraph:
     def node_records(self) -> DataFrame:
         return self.nodes if self.records is None else self.records
 
-    @cached_property
-    def degrees(self) -> DataFrame:
-        """(id, out_degree, in_degree, total_degree) of every node with an edge; a loop counts twice in total."""
+    def _degrees(self, ids: DataFrame | None) -> DataFrame:
         e = self.edges
         ends = e.select(F.explode(F.array(F.struct(F.col("subject").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+        if ids is not None:
+            ends = ends.join(ids.select("id"), "id", "left_semi")
         return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("total_degree"))
 
-    def nodes_with_degrees(self) -> DataFrame:
-        zero = {c: F.coalesce(c, F.lit(0)) for c in ("out_degree", "in_degree", "total_degree")}
-        return self.nodes.join(self.degrees, "id", "left").withColumns(zero)
+    @cached_property
+    def degrees(self) -> DataFrame:
+        """(id, out_degree, in_degree, total_degree) of every node with an edge; a loop counts twice in total."""
+        return self._degrees(None)
+
+    def degrees_of(self, ids: DataFrame) -> DataFrame:
+        """degrees of some nodes (id): edges of other nodes are left out before they are counted; stored degrees are looked up."""
+        if "total_degree" in self.node_records.columns:
+            return self.node_records.select("id", "out_degree", "in_degree", "total_degree").join(ids.select("id"), "id", "left_semi")
+        return self._degrees(ids)
+
+    def nodes_with_degrees(self, ids: DataFrame | None = None) -> DataFrame:
+        """nodes with their degrees; only those of ids (id), if given."""
+        names = ("out_degree", "in_degree", "total_degree")
+        if ids is None:
+            nodes, degrees = self.nodes, self.degrees
+        else:
+            ids = ids.select("id").distinct()
+            nodes, degrees = ids.join(self.node_records, "id", "left"), self.degrees_of(ids)
+        zero = {c: F.coalesce(c, F.lit(0)) for c in names}
+        return nodes.drop(*names).join(degrees, "id", "left").withColumns(zero)
 
     def save(self, path: str) -> None:
-        """Three Parquet tables, edges sorted by subject in files of subject ranges, and the metadata."""
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        """Three Parquet tables, edges sorted by subject in files of subject ranges, nodes with their degrees, and the metadata."""
+        self.nodes_with_degrees().write.mode("overwrite").parquet(f"{path}/nodes")
         self.edges.repartitionByRange("subject", "object", "predicate").sortWithinPartitions("subject", "object", "predicate").write.mode("overwrite").parquet(f"{path}/edges")
         self.edge_attributes.write.mode("overwrite").parquet(f"{path}/edge_attributes")
         row = [(json.dumps(self.metadata), json.dumps(_onto_json(self.ontology)))]

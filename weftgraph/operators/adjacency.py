@@ -56,7 +56,9 @@ def with_properties(kg: KnowledgeGraph, edges: DataFrame) -> DataFrame:
 
 def node_records(kg: KnowledgeGraph, ids: DataFrame) -> DataFrame:
     """Nodes of ids (id); unknown ones are left out."""
-    return kg.nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    known = kg.edges.select(F.explode(F.array("subject", "object")).alias("id")).join(ids.select("id").distinct(), "id", "left_semi").distinct()
+    empty = {c: F.coalesce(c, F.array().cast(kg.nodes.schema[c].dataType)) for c in ("categories", "attributes")}
+    return kg.nodes.join(ids.select("id").distinct(), "id", "left_semi") if kg.records is None else known.join(kg.records, "id", "left").withColumns(empty)
 
 
 def out_degree(kg: KnowledgeGraph, by_predicate: bool = False) -> DataFrame:
@@ -74,5 +76,7 @@ def degree_of(kg: KnowledgeGraph, node: str) -> int:
 
 def degrees_of(kg: KnowledgeGraph, ids: DataFrame) -> DataFrame:
     """(id, total_degree) of every given id, null for unknown ones."""
-    known = kg.nodes_with_degrees().select("id", "total_degree")
-    return ids.select("id").distinct().join(known, "id", "left")
+    ids = ids.select("id").distinct()
+    alone = kg.node_records.select("id", F.lit(0).cast("bigint").alias("z")) if kg.records is None else kg.spark.createDataFrame([], "id string, z bigint")
+    found = ids.join(kg.degrees_of(ids).select("id", "total_degree"), "id", "left").join(alone, "id", "left")
+    return found.select("id", F.coalesce("total_degree", "z").alias("total_degree"))

@@ -29,7 +29,7 @@ def expand_groups(kg: KnowledgeGraph, node: str) -> DataFrame:
 def ranked_neighbors(kg: KnowledgeGraph, node: str, direction: str, predicate: str) -> DataFrame:
     """Neighbours of one group by degree, largest first and unknown last, then by name (the id if it has none)."""
     n = expand(kg, node).filter((F.col("direction") == direction) & (F.col("predicate") == predicate)).select(F.col("neighbor").alias("id"))
-    out = n.join(kg.node_records.select("id", "name"), "id", "left").join(kg.degrees.select("id", F.col("total_degree").alias("degree")), "id", "left")
+    out = n.join(kg.node_records.select("id", "name"), "id", "left").join(kg.degrees_of(n).select("id", F.col("total_degree").alias("degree")), "id", "left")
     return out.withColumn("name", F.coalesce("name", "id")).orderBy(F.desc_nulls_last("degree"), "name", "id")
 
 

@@ -69,7 +69,7 @@ class LookupResult:
     def _bound_edges(self) -> DataFrame:
         """result_id, qedge, edge_idx, predicate, direct, tops, subs: a row for each path and ordinary edge."""
         rows = []
-        null = F.lit(None).cast("string")
+        null = F.lit(None).cast(self.kg.edges.schema["edge_idx"].dataType)
         for k, e in self.pattern.edges.items():
             if e.is_subclass:
                 continue
@@ -80,7 +80,7 @@ class LookupResult:
                 sub = f"e_{end}_subclass_edge" if top else None
                 if top:
                     direct = direct & (F.col(f"n_{end}") == F.col(f"n_{top}"))
-                subs.append(F.col(sub).cast("string") if sub else null)
+                subs.append(F.col(sub) if sub else null)
             rows.append(F.struct(F.lit(k).alias("qedge"), F.col(f"e_{k}").alias("edge_idx"), direct.alias("direct"), F.array(*tops).alias("tops"), F.array(*subs).alias("subs")))
         return self.paths.select("result_id", F.explode(F.array(*rows)).alias("b")).select("result_id", "b.*")
 
@@ -101,6 +101,10 @@ class LookupResult:
         first = Window.partitionBy("result_id", "qedge", *same).orderBy("edge_idx")
         return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
 
+    def _hierarchy(self) -> DataFrame:
+        """The stored edges that subclass edges can be: those of the hierarchy only."""
+        return self.kg.edges.filter(F.col("predicate") == self.kg.ontology.subclass_of)
+
     def edges(self, compat: bool = False) -> DataFrame:
         """result_id, qedge, kg_edge, composite, edge_idx, subject, predicate, object, subs, tops of the edges of every result.
 
@@ -109,8 +113,8 @@ class LookupResult:
         attaches all subclass edges of a result to each of them, not only the matching ones.
         """
         kept = self._kept(not compat)
-        name = F.coalesce("edge_id", F.concat(F.lit("e:"), F.substring(F.md5(F.col("edge_idx").cast("string")), 1, 12)))
-        ids = self.kg.edges.select(F.col("edge_idx").cast("string").alias("sub"), F.coalesce("edge_id", F.concat(F.lit("e:"), F.substring(F.md5(F.col("edge_idx").cast("string")), 1, 12))).alias("sub_name"))
+        name = _edge_name()
+        ids = self._hierarchy().select(F.col("edge_idx").alias("sub"), name.alias("sub_name"))
         if not any(e.is_subclass for e in self.pattern.edges.values()):
             return kept.withColumns({"stored_edge": name, "kg_edge": name, "composite": F.lit(False), "sub_names": F.array().cast("array<string>")})
         key = ["result_id", "qedge", "edge_idx"]
@@ -127,8 +131,7 @@ class LookupResult:
         stored = e.select(F.col("stored_edge").alias("kg_edge"), "subject", "predicate", "object", "edge_idx", F.lit(None).cast("string").alias("support"))
         derived = e.filter("composite").select("kg_edge", F.col("tops")[0].alias("subject"), "predicate", F.col("tops")[1].alias("object"), F.lit(None).cast(self.kg.edges.schema["edge_idx"].dataType).alias("edge_idx"), F.concat(F.lit("aux_"), F.col("kg_edge")).alias("support"))
         subs = e.filter("composite").select(F.explode("subs").alias("sub")).distinct()
-        sub_name = F.coalesce("edge_id", F.concat(F.lit("e:"), F.substring(F.md5(F.col("edge_idx").cast("string")), 1, 12)))
-        of_subs = self.kg.edges.join(subs, F.col("edge_idx").cast("string") == F.col("sub"), "left_semi").select(sub_name.alias("kg_edge"), "subject", "predicate", "object", "edge_idx", F.lit(None).cast("string").alias("support"))
+        of_subs = self._hierarchy().join(subs, F.col("edge_idx") == F.col("sub"), "left_semi").select(_edge_name().alias("kg_edge"), "subject", "predicate", "object", "edge_idx", F.lit(None).cast("string").alias("support"))
         return stored.unionByName(derived).unionByName(of_subs).dropDuplicates(["kg_edge"])
 
     def aux_graphs(self, compat: bool = False) -> DataFrame:
@@ -145,6 +148,11 @@ class LookupResult:
         return found.select("id", "name", "categories", "attributes")
 
 
+def _edge_name() -> Column:
+    """What a stored edge is called: its id, or a digest if it has none."""
+    return F.coalesce("edge_id", F.concat(F.lit("e:"), F.substring(F.md5(F.col("edge_idx").cast("string")), 1, 12)))
+
+
 def most_specific(kg: KnowledgeGraph, categories: Column) -> Column:
     """The first category that is no ancestor of another one listed."""
     onto = kg.ontology
@@ -197,7 +205,7 @@ def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict | Non
     counts: dict[str, int] = {}
     matches: dict[str, DataFrame] = {}
     while left.edges:
-        e = planner.next_edge(left, counts)
+        e = planner.next_edge(left, counts, planner.Sizes.of(kg.metadata))
         s, o = q.nodes[e.subject], q.nodes[e.object]
         if e.is_subclass:
             m = match_subclass(kg, pins[e.object], depth)
@@ -208,7 +216,7 @@ def _adaptive(kg: KnowledgeGraph, q: QueryGraph, depth: int, filters: dict | Non
             m = match_edge(kg, e, pins[e.subject], pins[e.object])
             for n, col in ((s, "s"), (o, "o")):
                 tested = both or pins[n.key] is None
-                allowed = nodes_allowed(kg, n, pins[n.key] is not None, filters if tested else None)
+                allowed = nodes_allowed(kg, n, pins[n.key] is not None, filters if tested else None, m.select(F.col(col).alias("id")))
                 if allowed is not None:
                     m = m.join(allowed.select(F.col("id").alias(col)), col, "left_semi").select("s", "o", "edge_idx", "predicate", "via_inverse")
         m = cut(m)
@@ -253,7 +261,7 @@ def lookup(
         q = expand_subclasses(q, kg.ontology)
     if not q.edges:
         return LookupResult(kg, q, kg.spark.createDataFrame([], "result_id string"), bool(dehydrated))
-    order = planner.join_order(q, allow_product)
+    order = planner.join_order(q, allow_product, planner.Sizes.of(kg.metadata))
     planner.check_pinned(q, order, allow_full_scan)
     filters = filter_config if node_condition(filter_config) is not None else None
     paths = _adaptive(kg, q, subclass_depth, filters, max_paths) if filters or adaptive else _fold(kg, q, order, subclass_depth, max_paths)

@@ -43,8 +43,8 @@ def _semi(df: DataFrame, end: str, pins: Pins) -> DataFrame:
     return df
 
 
-def nodes_allowed(kg: KnowledgeGraph, node: QNode, pinned: bool, filters: dict | None = None) -> DataFrame | None:
-    """Ids that a pattern node may take, or None if all: categories count for unpinned nodes only, attributes always."""
+def nodes_allowed(kg: KnowledgeGraph, node: QNode, pinned: bool, filters: dict | None = None, found: DataFrame | None = None) -> DataFrame | None:
+    """Ids that a pattern node may take, or None if all: categories count for unpinned nodes only, attributes always. Filters look at the ids found (id) only."""
     tests: list[Column] = []
     # What a node without a record passes, too, has to be asked of all nodes.
     passes_empty = any(c.get("not") for c in node.constraints) and not (node.categories and not pinned)
@@ -53,7 +53,7 @@ def nodes_allowed(kg: KnowledgeGraph, node: QNode, pinned: bool, filters: dict |
         tests.append(has_category(F.col("categories"), node.categories))
     condition = plugins.node_condition(filters)
     if condition is not None:
-        source = kg.nodes_with_degrees() if "total_degree" not in kg.nodes.columns else kg.nodes
+        source = kg.nodes_with_degrees(found)
         tests.append(condition)
     if node.constraints:
         tests.append(attributes_match(F.col("attributes"), node.constraints))

@@ -60,15 +60,18 @@ def meta_nodes(kg: KnowledgeGraph) -> DataFrame:
 
 def meta_edges(kg: KnowledgeGraph) -> DataFrame:
     """(triple of categories, attributes, qualifiers): what its edges' attributes are called, and the values of their qualifiers."""
-    e = kg.edges.select("edge_idx", "subject", "predicate", "object", "qualifiers")
+    qs = F.transform("qualifiers", lambda q: F.struct(q["qualifier_type_id"].alias("t"), q["qualifier_value"].alias("v")))
     kinds = F.transform(F.filter("attributes", lambda a: F.coalesce(a["original_attribute_name"], F.lit("")) != ""), lambda a: F.struct(*[a[c].alias(c) for c in ("attribute_type_id", "attribute_source", "original_attribute_name")]))
-    e = with_categories(kg, e.join(kg.edge_attributes.select("edge_idx", kinds.alias("kinds")), "edge_idx", "left"))
-    # Few different lists of attribute kinds and qualifiers are left of any number of edges; their elements are taken apart after that.
-    g = e.groupBy(*TRIPLE).agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("a"), F.array_distinct(F.flatten(F.collect_set("qualifiers"))).alias("q"))
-    q = F.filter("q", lambda x: x["qualifier_type_id"].isNotNull())
-    types = F.array_sort(F.array_distinct(F.transform(q, lambda x: x["qualifier_type_id"])))
-    values = F.transform(types, lambda t: F.struct(t.alias("qualifier_type_id"), F.array_sort(F.array_compact(F.transform(F.filter(q, lambda x: x["qualifier_type_id"] == t), lambda x: x["qualifier_value"]))).alias("applicable_values")))
-    return g.select(*TRIPLE, F.array_sort("a").alias("attributes"), values.alias("qualifiers"))
+    e = kg.edges.select("edge_idx", "subject", "predicate", "object", qs.alias("qs")).join(kg.edge_attributes.select("edge_idx", kinds.alias("kinds")), "edge_idx", "left")
+    # Edges come down to their different lists first, then to the different elements of these; only elements are gathered.
+    lists = with_categories(kg, e).groupBy(*TRIPLE, "kinds", "qs").agg(F.lit(1).alias("one")).drop("one")
+    some = lambda c: F.explode(F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(None).cast(lists.schema[c].dataType.elementType))))
+    a = lists.select(*TRIPLE, some("kinds").alias("a")).distinct().groupBy(*TRIPLE).agg(F.array_sort(F.collect_list("a")).alias("attributes"))
+    q = lists.select(*TRIPLE, F.explode("qs").alias("q")).filter(F.col("q.t").isNotNull()).distinct()
+    q = q.groupBy(*TRIPLE, F.col("q.t").alias("qualifier_type_id")).agg(F.array_sort(F.collect_list("q.v")).alias("applicable_values"))
+    q = q.groupBy(*TRIPLE).agg(F.array_sort(F.collect_list(F.struct("qualifier_type_id", "applicable_values"))).alias("qualifiers"))
+    none = F.array().cast(q.schema["qualifiers"].dataType)
+    return a.join(q, TRIPLE, "left").withColumn("qualifiers", F.coalesce("qualifiers", none))
 
 
 def meta_kg(kg: KnowledgeGraph) -> dict:

@@ -21,7 +21,9 @@ def _hop(edges: DataFrame, i: int) -> DataFrame:
 
 
 def _pinned(edges: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three hops; both pins reach the scans, and no path goes through its own ends."""
+    """The three hops; both pins reach the scans, and no path goes through its own ends; a node has no paths to itself."""
+    if start == end:
+        edges = edges.limit(0)
     e1 = _hop(edges.filter(F.col("subject") == start), 1).filter(F.col("n1") != end)
     e2 = _hop(edges, 2)
     e3 = _hop(edges.filter(F.col("object") == end), 3).filter(F.col("n2") != start)
@@ -31,11 +33,11 @@ def _pinned(edges: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFram
 def paths3(kg: KnowledgeGraph, start: str, end: str, allowed: list[str] | None = None, excluded: list[str] | None = None, limit: int = 0) -> DataFrame:
     """n0..n3 and p1..p3, e1..e3: each combination of parallel edges is a path of its own.
 
-    allowed and excluded are predicates of every hop. limit keeps the first paths in
+    allowed and excluded are predicates of every hop; empty lists are no conditions. limit keeps the first paths in
     the order of their edges (0: all).
     """
     edges = kg.edges.select("subject", "predicate", "object", "edge_idx")
-    if allowed is not None:
+    if allowed:
         edges = edges.filter(F.col("predicate").isin(list(allowed)))
     if excluded:
         edges = edges.filter(~F.col("predicate").isin(list(excluded)))
@@ -47,6 +49,8 @@ def paths3(kg: KnowledgeGraph, start: str, end: str, allowed: list[str] | None =
 def paths3_nodes(kg: KnowledgeGraph, start: str, end: str, limit: int = 0) -> DataFrame:
     """Different node sequences n0..n3 with the first predicate of each hop (by edge_idx)."""
     edges = kg.edges.select("subject", "predicate", "object", "edge_idx")
+    if start == end:
+        edges = edges.limit(0)
     first = lambda df: df.groupBy("subject", "object").agg(F.min(F.struct("edge_idx", "predicate")).alias("f")).select("subject", "object", F.col("f.predicate").alias("predicate"), F.col("f.edge_idx").alias("edge_idx"))
     e1 = _hop(first(edges.filter(F.col("subject") == start)), 1).filter(F.col("n1") != end)
     e3 = _hop(first(edges.filter(F.col("object") == end)), 3).filter(F.col("n2") != start)

@@ -6,6 +6,7 @@ import datetime
 import json
 import time
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -13,10 +14,16 @@ from pyspark.sql import functions as F
 
 from weftgraph import plugins
 from weftgraph.graph import KnowledgeGraph
+from weftgraph.operators.adjacency import node_records
+from weftgraph.operators.durable import cut
 from weftgraph.operators.lookup import INFORES, LookupResult, lookup
 from weftgraph.plans.ir import BadQuery
 
 
+#: Paths of an answer that may become one message.
+MOST_PATHS = 1_000_000
+
+
 class Stages:
     """Times of the stages of a request, as log entries."""
 
@@ -51,12 +58,16 @@ def _derived(edge: dict, aux: str) -> dict:
     }
 
 
-def assemble(r: LookupResult, query_graph: dict | None = None, compat: bool = False) -> dict:
+def assemble(r: LookupResult, query_graph: dict | None = None, compat: bool = False, most_paths: int = MOST_PATHS) -> dict:
     """The whole answer as one message on the driver, for answers of a size that is sent to someone.
 
-    Large answers are read from the tables of LookupResult instead.
+    The pattern is run once; its paths are kept and counted. Above most_paths the answer is
+    refused, whole: it is read from the tables of LookupResult instead.
     """
     kg = r.kg
+    r = replace(r, paths=cut(r.paths))
+    if (n := r.paths.count()) > most_paths:
+        raise BadQuery(f"the answer has {n} paths; one message holds at most {most_paths}", 413)
     nodes = {}
     for n in r.kg_nodes.collect():
         nodes[n["id"]] = {"name": n["name"], "categories": list(n["categories"] or [])} | ({} if r.dehydrated else {"attributes": _attributes(n["attributes"])})
@@ -123,7 +134,7 @@ def enrich(kg: KnowledgeGraph, response: dict) -> dict:
     nodes, edges = own.get("nodes") or {}, own.get("edges") or {}
     if nodes:
         ids = kg.spark.createDataFrame([(n,) for n in nodes], "id string")
-        for n in kg.nodes.join(ids, "id", "left_semi").collect():
+        for n in node_records(kg, ids).collect():
             for k, v in (("name", n["name"]), ("categories", list(n["categories"] or [])), ("attributes", _attributes(n["attributes"]))):
                 if nodes[n["id"]].get(k) is None:
                     nodes[n["id"]][k] = v
@@ -157,7 +168,7 @@ def query(kg: KnowledgeGraph, body: dict) -> dict:
     if p.get("rehydrate"):
         return stages.run("enrich", lambda: enrich(kg, dict(body)))
     q = body["message"]["query_graph"]
-    found = stages.run("plan", lambda: lookup(kg, q, p.get("subclass", True), p.get("subclass_depth", 1), p.get("filter_config"), p.get("dehydrated")))
+    found = stages.run("plan", lambda: lookup(kg, q, p.get("subclass", True), p.get("subclass_depth", 1), p.get("filter_config"), p.get("dehydrated", False)))
     out = stages.run("answer", lambda: assemble(found, q))
     out["logs"] += stages.logs
     return annotate(out, kg, p.get("annotator_config"))

@@ -15,31 +15,41 @@ def missing_nodes(kg: KnowledgeGraph, ids: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(kg.nodes.select("id"), "id", "left_anti")
 
 
-def accepted_triples(kg: KnowledgeGraph, check_inverse: bool = True) -> DataFrame:
-    """Every statement that the stored edges make: themselves; reversed if symmetric; reversed under the inverse; under the name of their inverse."""
-    stored = kg.edges.select("subject", "predicate", "object")
-    if not check_inverse:
-        return stored.distinct()
-    p = kg.ontology.tables(kg.spark)["predicate"].withColumnRenamed("name", "predicate")
-    known = stored.join(F.broadcast(p), "predicate", "left")  # one row for each predicate of the ontology
-    reversed_ = known.filter("is_symmetric").select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"))
-    inverse = known.filter(F.col("inverse").isNotNull())
-    turned = inverse.select(F.col("object").alias("subject"), F.col("inverse").alias("predicate"), F.col("subject").alias("object"))
-    named = inverse.select("subject", F.col("inverse").alias("predicate"), "object")
-    return stored.union(reversed_).union(turned).union(named).distinct()
+def _stored_forms(kg: KnowledgeGraph, edges: DataFrame, check_inverse: bool) -> DataFrame:
+    """edges (subject, predicate, object) with the statements s, p, o that would prove each: itself; reversed if symmetric; reversed under its inverse; under the inverse's name."""
+    form = lambda s, p, o: F.struct(F.col(s).alias("s"), F.col(p).alias("p"), F.col(o).alias("o"))
+    forms = [form("subject", "predicate", "object")]
+    if check_inverse:
+        known = kg.ontology.tables(kg.spark)["predicate"].select(F.col("name").alias("predicate"), "is_symmetric", "inverse")
+        # Of which predicates a predicate is the inverse: what is stored under those says the same.
+        of = kg.ontology.tables(kg.spark)["predicate"].filter(F.col("inverse").isNotNull()).groupBy(F.col("inverse").alias("predicate")).agg(F.collect_set("name").alias("stored_as"))
+        edges = edges.join(F.broadcast(known), "predicate", "left").join(F.broadcast(of), "predicate", "left")  # one row for each predicate of the ontology
+        forms.append(F.when(F.col("is_symmetric"), form("object", "predicate", "subject")))
+        turned = F.transform("stored_as", lambda q: F.struct(F.col("object").alias("s"), q.alias("p"), F.col("subject").alias("o")))
+        named = F.transform("stored_as", lambda q: F.struct(F.col("subject").alias("s"), q.alias("p"), F.col("object").alias("o")))
+        none = F.array().cast("array<struct<s:string,p:string,o:string>>")
+        every = F.concat(F.array_compact(F.array(*forms)), F.coalesce(turned, none), F.coalesce(named, none))
+    else:
+        every = F.array(*forms)
+    return edges.select("subject", "predicate", "object", F.explode(every).alias("f")).select("subject", "predicate", "object", "f.*")
 
 
 def edge_errors(kg: KnowledgeGraph, edges: DataFrame, check_inverse: bool = True) -> DataFrame:
-    """(error_type, subject, predicate, object) of edges whose subject, object or statement is not in the graph; one error each."""
-    e = edges.select("subject", "predicate", "object").distinct()
-    ids = kg.nodes.select("id")
-    no_s = e.join(ids, e["subject"] == ids["id"], "left_anti")
-    with_s = e.join(ids, e["subject"] == ids["id"], "left_semi")
-    no_o = with_s.join(ids, with_s["object"] == ids["id"], "left_anti")
-    rest = with_s.join(ids, with_s["object"] == ids["id"], "left_semi")
-    lost = rest.join(accepted_triples(kg, check_inverse), ["subject", "predicate", "object"], "left_anti")
-    typed = lambda df, t: df.select(F.lit(t).alias("error_type"), "subject", "predicate", "object")
-    return typed(no_s, "EDGE_SUBJECT_NOT_FOUND").unionByName(typed(no_o, "EDGE_OBJECT_NOT_FOUND")).unionByName(typed(lost, "EDGE_NOT_FOUND"))
+    """(error_type, subject, predicate, object) of edges whose subject, object or statement is not in the graph; one error each.
+
+    The given edges are turned into what would prove them and looked up; the graph's
+    own edges are read once for statements and once for ends, and not multiplied.
+    """
+    key = ["subject", "predicate", "object"]
+    e = edges.select(*key).distinct()
+    stored = kg.edges.select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"))
+    proved = _stored_forms(kg, e, check_inverse).join(stored, ["s", "p", "o"], "left_semi").select(*key).distinct()
+    lost = e.join(proved, key, "left_anti")
+    ends = lost.select(F.explode(F.array("subject", "object")).alias("id")).distinct().join(kg.nodes.select("id"), "id", "left_semi").withColumn("known", F.lit(True))
+    for end in ("subject", "object"):
+        lost = lost.join(ends.select(F.col("id").alias(end), F.col("known").alias(f"has_{end}")), end, "left")
+    error = F.when(F.col("has_subject").isNull(), "EDGE_SUBJECT_NOT_FOUND").when(F.col("has_object").isNull(), "EDGE_OBJECT_NOT_FOUND").otherwise("EDGE_NOT_FOUND")
+    return lost.select(error.alias("error_type"), *key)
 
 
 def edge_exists(kg: KnowledgeGraph, subject: str, predicate: str, object: str, check_inverse: bool = True) -> str | None:

@@ -36,15 +36,37 @@ ONTOLOGY = Ontology(
 EDGE_ATTRIBUTES = ("knowledge_level", "agent_type", "publications", "p_value", "evidence_count")
 
 
+def json_text(c: Column) -> Column:
+    """A text as JSON: what to_json makes of it as the only element of a list, without the brackets."""
+    whole = F.to_json(F.array(c))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def number_of(c: Column) -> Column:
+    """What float() makes of a text: blanks around it and single underscores between digits do not matter, suffixes as in '1d' are no numbers."""
+    plain = F.trim(F.regexp_replace(c, "[\\t\\n\\r\\f\\x0b]", " "))
+    plain = F.regexp_replace(plain, "(?<=[0-9])_(?=[0-9])", "")
+    named = F.lower(F.regexp_replace(plain, "^[+-]", ""))
+    sign = F.when(plain.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(named.isin("inf", "infinity"), sign * F.lit(float("inf"))).when(named == "nan", F.lit(float("nan"))).when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+
+
+def _quoted(c: Column) -> Column:
+    """A text as repr() writes it, but for characters that cannot be printed."""
+    c = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def _shadow(name: str, kind: str, type_id: str) -> Column:
     """An attribute of a typed column, with the shadows that float() and str() would give."""
     c = F.col(name)
     null = F.lit(None).cast("string")
     if kind == "list":
         c = F.array_compact(c)
-        parts = {"value_json": F.to_json(c), "value_type": F.lit("list"), "value_num": F.lit(None).cast("double"), "value_text": F.when(F.size(c) == 0, "[]").otherwise(F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']")))}
+        parts = {"value_json": F.to_json(c), "value_type": F.lit("list"), "value_num": F.lit(None).cast("double"), "value_text": F.concat(F.lit("["), F.array_join(F.transform(c, _quoted), ", "), F.lit("]"))}
     elif kind == "string":
-        parts = {"value_json": F.concat(F.lit('"'), c, F.lit('"')), "value_type": F.lit("string"), "value_num": c.try_cast("double"), "value_text": c}
+        parts = {"value_json": json_text(c), "value_type": F.lit("string"), "value_num": number_of(c), "value_text": c}
     else:
         parts = {"value_json": c.cast("string"), "value_type": F.lit(kind), "value_num": c.cast("double"), "value_text": c.cast("string")}
     fields = {"attribute_type_id": F.lit(type_id), "original_attribute_name": F.lit(name), "attribute_source": null, "value_type_id": null} | parts
