@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import KnowledgeGraph
 
+#: Ranks of categories for browsing, the higher the more specific (fixed values, for equal groups).
+RANKS = {
+    "Entity": 1, "NamedThing": 5, "PhysicalEssenceOrOccurrent": 5, "Occurrent": 6, "PhysicalEssence": 6, "ThingWithTaxon": 6, "SubjectOfInvestigation": 6,
+    "Attribute": 8, "OntologyClass": 8, "InformationContentEntity": 8, "BiologicalEntity": 10, "ChemicalEntityOrGeneOrGeneProduct": 12,
+    "ChemicalEntityOrProteinOrPolypeptide": 12, "ChemicalOrDrugOrTreatment": 12, "GenomicEntity": 14, "MacromolecularMachineMixin": 14, "GeneOrGeneProduct": 16,
+    "DiseaseOrPhenotypicFeature": 16, "BiologicalProcessOrActivity": 16, "PhysiologicalEntity": 16, "ChemicalEntity": 18, "AnatomicalEntity": 18,
+    "OrganismTaxon": 20, "MolecularEntity": 22, "ChemicalMixture": 22, "MolecularMixture": 24, "ComplexMolecularMixture": 24,
+    "SmallMolecule": 30, "Drug": 30, "Food": 30, "Disease": 30, "PhenotypicFeature": 30, "ClinicalFinding": 30, "Pathway": 30, "BiologicalProcess": 30,
+    "MolecularActivity": 30, "PhysiologicalProcess": 30, "Behavior": 30, "Cell": 30, "GrossAnatomicalStructure": 30, "Genotype": 30, "Haplotype": 30,
+    "Treatment": 28, "DrugExposure": 28, "Procedure": 28, "ClinicalIntervention": 28, "Device": 28, "DiagnosticAid": 28, "BehavioralFeature": 32,
+    "CellularComponent": 32, "SequenceVariant": 32, "MacromolecularComplex": 32, "Gene": 34, "GeneProduct": 34, "Transcript": 34, "Polypeptide": 34, "Snv": 34,
+    "Protein": 36, "RNAProduct": 36, "NoncodingRNAProduct": 38, "ProteinIsoform": 38, "MicroRNA": 40, "SiRNA": 40,
+}
+#: The rank of all others (fixed value).
 DEFAULT_RANK = 26
 
 
@@ -33,16 +47,16 @@ def ranked_neighbors(kg: KnowledgeGraph, node: str, direction: str, predicate: s
     return out.withColumn("name", F.coalesce("name", "id")).orderBy(F.desc_nulls_last("degree"), "name", "id")
 
 
-def primary_category(categories: Column | str, ranks: dict[str, int]) -> Column:
-    """The category of the highest rank (DEFAULT_RANK if unranked), the first one on a tie."""
+def primary_category(categories: Column | str, ranks: dict[str, int] = RANKS) -> Column:
+    """The category of the highest rank, by its name without prefix (DEFAULT_RANK if unranked), the first one on a tie."""
     categories = F.col(categories) if isinstance(categories, str) else categories
     flat = [x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))]
     rank = F.create_map(*flat) if flat else F.create_map().cast("map<string,int>")
-    ranked = F.transform(categories, lambda c, i: F.struct(F.coalesce(F.try_element_at(rank, c), F.lit(DEFAULT_RANK)).alias("r"), (-i).alias("i"), c.alias("c")))
+    ranked = F.transform(categories, lambda c, i: F.struct(F.coalesce(F.try_element_at(rank, F.regexp_replace(c, "^biolink:", "")), F.lit(DEFAULT_RANK)).alias("r"), (-i).alias("i"), c.alias("c")))
     return F.array_max(ranked)["c"]
 
 
-def category_groups(kg: KnowledgeGraph, ids: DataFrame, ranks: dict[str, int]) -> DataFrame:
+def category_groups(kg: KnowledgeGraph, ids: DataFrame, ranks: dict[str, int] = RANKS) -> DataFrame:
     """(category, n) of nodes (id) by primary category, largest first, then by name."""
     n = ids.select("id").distinct().join(kg.node_records, "id", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
     return n.groupBy(primary_category("categories", ranks).alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")

@@ -20,8 +20,6 @@ from weftgraph.sources.normalize import OWN_SOURCE
 from weftgraph.sources.tables import graph_of_tables
 
 B = "biolink:"
-RANKS = {B + c: r for c, r in (("NamedThing", 5), ("BiologicalEntity", 10), ("GeneOrGeneProduct", 16), ("DiseaseOrPhenotypicFeature", 16), ("ChemicalEntity", 18), ("AnatomicalEntity", 18), ("SmallMolecule", 30), ("Drug", 30), ("Disease", 30), ("PhenotypicFeature", 30), ("BiologicalProcess", 30), ("Gene", 34))}
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -609,7 +607,7 @@ def expand_ranked(kg):
     return explore.ranked_neighbors(kg, hub(kg), "out", B + "affects")
 
 
-_RANK = "case c " + " ".join(f"when '{k}' then {r}" for k, r in RANKS.items()) + f" else {explore.DEFAULT_RANK} end"
+_RANK = "case c " + " ".join(f"when '{B}{k}' then {r}" for k, r in explore.RANKS.items()) + f" else {explore.DEFAULT_RANK} end"
 
 
 @query(f""", {_EXP}, y as (select distinct v.id, v.categories from x join v on v.id = x.neighbor),
@@ -617,7 +615,7 @@ r as (select id, c, row_number() over (partition by id order by {_RANK} desc, i)
 z as (select y.id, r.c as category from y left join r on r.id = y.id and r.nth = 1) select category, count(*) as n from z group by category""")
 def primary_category_groups(kg):
     ids = explore.expand(kg, hub(kg)).select(F.col("neighbor").alias("id"))
-    return explore.category_groups(kg, ids, RANKS)
+    return explore.category_groups(kg, ids)
 
 
 @query(f"select case when subject = {_H} then 'forward' else 'reverse' end as direction, predicate, edge_idx from e where (subject = {_H} and object = {_MATE}) or (object = {_H} and subject = {_MATE})")

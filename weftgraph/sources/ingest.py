@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftgraph import schema
 from weftgraph.graph import KnowledgeGraph
@@ -51,22 +54,56 @@ class JsonLines(GraphSource):
         return nodes_of_lines(self.spark.read.text(self.node_path), self.normalized) if self.node_path else None
 
 
+class Documents(GraphSource):
+    """Collections of a document store, through any client that lists the parts of a collection and reads one.
+
+    parts(name) gives descriptions of parts (texts, such as ranges of ids), read(name, part)
+    the documents of one; executors read the parts, so both must be picklable. Documents are
+    graph records; `_id` is left out, and texts that say the same as JSON are read as it.
+    """
+
+    def __init__(self, spark: SparkSession, parts: Callable[[str], list[str]], read: Callable[[str, str], Iterator[dict]], edges: str = "edges", nodes: str | None = "nodes") -> None:
+        self.spark, self.parts, self.read, self.names = spark, parts, read, (edges, nodes)
+
+    def _lines(self, name: str) -> DataFrame:
+        parts, read = self.parts(name), self.read
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in b.column(0).to_pylist():
+                    docs = ({k: v for k, v in d.items() if k != "_id"} for d in read(name, part))
+                    while some := list(islice(docs, 1000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(d) for d in some])], ["value"])
+
+        listed = self.spark.createDataFrame([(p,) for p in parts], "part string").repartition(max(1, len(parts)))
+        return listed.mapInArrow(run, "value string")
+
+    def edges(self) -> DataFrame:
+        return edges_of_lines(self._lines(self.names[0]), normalized=True)
+
+    def nodes(self) -> DataFrame | None:
+        return nodes_of_lines(self._lines(self.names[1]), normalized=True) if self.names[1] else None
+
+
 def triples_of_lines(spark: SparkSession, path: str) -> DataFrame:
     """(subject, object, predicate) only: other fields are not parsed."""
     return spark.read.schema("subject string, object string, predicate string").json(path)
 
 
 def _parsed(lines: DataFrame, to_record: Callable[[dict], dict | None], ddl: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for text, line in zip(p["value"], p["line"]):
+    """Records of lines, each line read once: what Python makes of its values goes to Spark as Arrow columns, without a second JSON."""
+    schema = T.StructType.fromDDL(f"{ddl}, line bigint")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text and text.strip() and (r := to_record(json.loads(text))) is not None:
-                    out.append((json.dumps(r), line))
-            yield pd.DataFrame(out, columns=["record", "line"])
+                    rows.append(r | {"line": line})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    records = lines.mapInPandas(run, "record string, line bigint")
-    return records.withColumn("r", F.from_json("record", ddl)).select("r.*", "line")
+    return lines.select("value", "line").mapInArrow(run, schema)
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
