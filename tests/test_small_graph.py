@@ -9,7 +9,7 @@ from weftgraph.operators import adjacency, explore, metadata, paths, response, v
 from weftgraph.operators.lookup import lookup
 from weftgraph.operators.match import match_subclass
 from weftgraph.plans.ir import BadQuery, parse, path_order
-from weftgraph.plugins import NodeMetadata, cooccurrence_annotator, register_annotator, register_enricher, run_enrichers
+from weftgraph.plugins import NodeMetadata, register_annotator, register_enricher, register_literature, run_enrichers
 from weftgraph.sources.ingest import from_jsonl
 from weftgraph.sources.tables import ONTOLOGY
 
@@ -252,7 +252,8 @@ def test_requests(kg):
 
 
 def test_annotators(kg):
-    register_annotator("literature", cooccurrence_annotator(lambda ids: ({MET: 7}, {f"{MET}\t{PPARG}": 3, f"{MET}\t{TNF}": 1, "bad": 9})))
+    counts = kg.spark.createDataFrame([(MET, 7), ("X:9", 5)], "id string, n long")
+    register_literature(counts, kg.spark.createDataFrame([(MET, PPARG, 3), (MET, TNF, 1), (MET, "X:9", 9)], "subject string, object string, n long"))
     register_annotator("broken", lambda cfg: (lambda r, g: 1 / 0) if cfg.get("broken") else None)
     body = {"message": {"query_graph": AFFECTS}, "parameters": {"annotator_config": {"literature_cooccurrence": {"min_cooccurrence": 3}, "broken": True}}}
     out = response.query(kg, body)

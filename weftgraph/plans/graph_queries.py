@@ -7,17 +7,19 @@ linked with), so that the queries mean the same on any of its sizes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import KnowledgeGraph
-from weftgraph.operators import adjacency, explore, metadata, paths, validate
+from weftgraph.operators import adjacency, explore, metadata, paths, response, validate
+from weftgraph.operators.durable import shared_dir
 from weftgraph.operators.lookup import LookupResult, lookup, most_specific
-from weftgraph.plugins import cooccurrence_edges
-from weftgraph.sources.ingest import source_chain
+from weftgraph.plugins import NodeMetadata, cooccurrence_edges, node_counts_of
+from weftgraph.sources.ingest import build, edges_of_lines, nodes_of_lines, source_chain, triples_of_lines
 from weftgraph.sources.normalize import OWN_SOURCE
-from weftgraph.sources.tables import graph_of_tables
+from weftgraph.sources.tables import ONTOLOGY, graph_of_tables
 
 B = "biolink:"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,3 +671,147 @@ union all select edge_idx, 'knowledge_level', null, 'string' from e where knowle
 def normalize_attributes(kg):
     a = kg.edge_attributes.select("edge_idx", F.explode("attributes").alias("a"))
     return a.select("edge_idx", F.col("a.original_attribute_name").alias("name"), F.col("a.value_num").alias("value_num"), F.col("a.value_type").alias("value_type"))
+
+
+def _lines(spark: SparkSession, d: str, *drop: str, **more) -> DataFrame:
+    """Edges as raw lines of JSON: with whole sources, without empty qualifiers, which the contract of records forbids."""
+    e = spark.read.parquet(f"{d}/edges.parquet").filter((F.trim("subject") != "") & (F.trim("predicate") != "") & (F.trim("object") != ""))
+    named = lambda c: F.coalesce(c != "", F.lit(False))
+    whole = F.filter("sources", lambda x: x.isNotNull() & named(x["resource_id"]) & named(x["resource_role"]))
+    given = {q: F.nullif(q, F.lit("")) for q in ("object_aspect_qualifier", "object_direction_qualifier")}
+    e = e.withColumns({"sources": whole, **given}).filter(F.size("sources") > 0).drop("category", "asserted_at", "loaded_at").withColumns(more).drop(*drop)
+    return e.select(F.to_json(F.struct("*")).alias("value"))
+
+
+_WHOLE = "(select *, list_filter(sources, lambda x: x is not null and coalesce(x.resource_id, '') <> '' and coalesce(x.resource_role, '') <> '') as s from e where sources is not null)"
+
+
+def _with_row(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("edge_idx", F.filter("attributes", lambda a: a["original_attribute_name"] == "edge_row")[0]["value_num"].cast("bigint"))
+
+
+def _from_tables(sql: str | None = None) -> Callable:
+    """Registers a query of the tables' folder."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = GRAPH + sql
+        return f
+
+    return add
+
+
+@_from_tables(f"""select edge_idx, edge_id, subject, predicate, object, len(s) + 1 as n_sources, array_to_string(list_transform(list_filter(s, lambda x: not coalesce(list_contains(flatten(list_transform(s, lambda y: coalesce(y.upstream_resource_ids, []))), x.resource_id), false)), lambda x: x.resource_id), ',') as tops,
+  (coalesce(aspect, '') <> '')::int + (coalesce(direction, '') <> '')::int as n_qualifiers, 1 + (knowledge_level is not null)::int + (agent_type is not null)::int + (publications is not null)::int + (p_value is not null)::int + (evidence_count is not null)::int as n_attributes
+from {_WHOLE} where len(s) > 0""")
+def ingest_edges(spark, d):
+    """Edge records of raw lines: sources with our own before them, qualifiers, attributes."""
+    e = _with_row(edges_of_lines(_lines(spark, d)))
+    return e.select("edge_idx", "edge_id", "subject", "predicate", "object", F.size("sources").alias("n_sources"), F.array_join(F.col("sources")[0]["upstream_resource_ids"], ",").alias("tops"), F.size("qualifiers").alias("n_qualifiers"), F.size("attributes").alias("n_attributes"))
+
+
+@_from_tables(f"select edge_idx, 'biolink:object_aspect_qualifier' as qualifier_type_id, aspect as qualifier_value from {_WHOLE} where len(s) > 0 and aspect <> '' union all select edge_idx, 'biolink:object_direction_qualifier', direction from {_WHOLE} where len(s) > 0 and direction <> ''")
+def ingest_qualifiers(spark, d):
+    return _with_row(edges_of_lines(_lines(spark, d))).select("edge_idx", F.explode("qualifiers").alias("q")).select("edge_idx", "q.*")
+
+
+@_from_tables(f""", w as (select * from {_WHOLE} where len(s) > 0)
+select edge_idx, 'evidence_count' as name, evidence_count::double as value_num, 'int' as value_type from w where evidence_count is not null union all select edge_idx, 'p_value', p_value, 'float' from w where p_value is not null
+union all select edge_idx, 'publications', null, 'list' from w where publications is not null union all select edge_idx, 'edge_row', edge_idx::double, 'int' from w""")
+def ingest_attributes(spark, d):
+    """But those of texts."""
+    a = _with_row(edges_of_lines(_lines(spark, d))).select("edge_idx", F.explode("attributes").alias("a")).filter("a.value_type <> 'string'")
+    return a.select("edge_idx", F.col("a.original_attribute_name").alias("name"), F.col("a.value_num").alias("value_num"), F.col("a.value_type").alias("value_type"))
+
+
+@_from_tables(f"""select edge_idx, s[1].resource_id || case when len(s) > 1 then '<' || array_to_string(list_reverse(list_transform(s[2:], lambda x: x.resource_id)), '<') else '' end as chain from {_WHOLE}
+  where len(s) > 0 and len(list_distinct(list_transform(s, lambda x: x.resource_id))) = len(s)""")
+def ingest_flat_sources(spark, d):
+    """Of lines that give a primary source and its aggregators instead of sources: who draws from whom."""
+    flat = {"primary_knowledge_source": F.col("sources")[0]["resource_id"], "aggregator_knowledge_source": F.transform(F.slice("sources", F.lit(2), F.greatest(F.size("sources") - 1, F.lit(0))), lambda x: x["resource_id"])}
+    e = _with_row(edges_of_lines(_lines(spark, d, "sources", **flat)))
+    own = F.slice("sources", F.lit(2), F.size("sources"))
+    e = e.withColumn("own", own).filter(F.size(F.array_distinct(F.transform("own", lambda x: x["resource_id"]))) == F.size("own"))
+    linked = F.transform(F.slice("own", F.lit(2), F.size("own")), lambda x, i: F.element_at("own", i + 1)["resource_id"] == x["upstream_resource_ids"][0])
+    return e.filter(F.forall(linked, lambda x: x)).select("edge_idx", F.array_join(F.transform("own", lambda x: x["resource_id"]), "<").alias("chain"))
+
+
+@_from_tables("select n.id, n.name, len(coalesce(n.category, [])) as n_categories, 1 + (n.equivalent_identifiers is not null)::int + (n.information_content is not null)::int as n_attributes from nodes n where n.id <> ''")
+def ingest_nodes(spark, d):
+    """Node records of raw lines; records without id are left out."""
+    n = spark.read.parquet(f"{d}/nodes.parquet").drop("loaded_at", "retired_at")
+    out = nodes_of_lines(n.select(F.to_json(F.struct("*")).alias("value")))
+    return out.select("id", "name", F.size("categories").alias("n_categories"), F.size("attributes").alias("n_attributes"))
+
+
+@_from_tables(f"select subject, predicate, object, count(*) as n from {_WHOLE} where len(s) > 0 group by all")
+def ingest_triples(spark, d):
+    """Statements of a file of lines, of which nothing else is parsed."""
+    path = f"{shared_dir(spark)}/lines-{uuid4().hex}"
+    _lines(spark, d).write.text(path)
+    return triples_of_lines(spark, path).groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_from_tables(f"select subject as id, count(*) as out_degree from {_WHOLE} where len(s) > 0 group by subject")
+def saved_graph(spark, d):
+    """Out-degrees of a graph that was built of lines, saved, and loaded again."""
+    path = f"{shared_dir(spark)}/graph-{uuid4().hex}"
+    build(spark, edges_of_lines(_lines(spark, d)), None, ONTOLOGY).save(path)
+    return KnowledgeGraph.load(spark, path).nodes.filter("out_degree > 0").select("id", "out_degree")
+
+
+@query(f"{_DIRECT}, k2 as (select n1, edge_idx, derived, sub from f where nth = 1) select e.subject, e.predicate, e.object, count(*) as n from (select edge_idx from k2 union select sub from k2 where derived = 1) x join e using (edge_idx) group by all")
+def answer_edges(kg):
+    """The stored edges of an answer's own graph, those that support derived ones included."""
+    r = _one(kg, {}, {"ids": [tree_top(kg)]}, {}, subclass=True)
+    e = r.edges()
+    ids = e.select("edge_idx").union(e.filter("composite").select(F.explode("subs"))).distinct()
+    return kg.edges.join(ids, "edge_idx", "left_semi").groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_DIRECT}, k2 as (select n1, edge_idx, derived, sub from f where nth = 1), ids as (select {_TOP} as id union select n1 from k2 union select subject from k2 join e using (edge_idx) union select object from k2 join e using (edge_idx) union select subject from k2 join e on e.edge_idx = k2.sub where derived = 1) select ids.id, v.name, len(coalesce(v.categories, [])) as n_categories from ids left join v on v.id = ids.id")
+def answer_nodes(kg):
+    r = _one(kg, {}, {"ids": [tree_top(kg)]}, {}, subclass=True)
+    return r.kg_nodes.select("id", "name", F.size("categories").alias("n_categories"))
+
+
+@query(f"{_DIRECT} select count(*) as n_graphs, count(*) * 2 as n_members from f where nth = 1 and derived = 1 and sub is not null")
+def answer_supports(kg):
+    """Auxiliary graphs of derived edges, each with its stored edge and one subclass edge."""
+    e = _one(kg, {}, {"ids": [tree_top(kg)]}, {}, subclass=True).edges().filter("composite")
+    return e.agg(F.count(F.lit(1)).alias("n_graphs"), F.coalesce(F.sum(F.size("sub_names") + 1), F.lit(0)).alias("n_members"))
+
+
+@query(f"select a.s as n0, a.o as n1, b.o as n2, a.edge_idx as e0, b.edge_idx as e1 from {_AFF} a join {_CAUSE} b on b.s = a.o join v on v.id = a.o where a.s = {_H} and {_is('Gene')}")
+def twohop_adaptive(kg):
+    """twohop_chain, edge by edge: ids found on one narrow the next."""
+    q = {"nodes": {"n0": {"ids": [hub(kg)]}, "n1": {"categories": [B + "Gene"]}, "n2": {}}, "edges": {
+        "e0": {"subject": "n0", "object": "n1", "predicates": [B + "affects"]}, "e1": {"subject": "n1", "object": "n2", "predicates": [B + "causes"]}}}
+    return _cols(lookup(kg, q, subclass=False, adaptive=True), ["n0", "n1", "n2"], ["e0", "e1"])
+
+
+@query("select subject, predicate, object, min(edge_idx) as edge_idx from e group by all")
+def resolved_edges(kg):
+    """For every statement, as an answer from elsewhere would name it, the stored edge that it is filled from."""
+    wanted = kg.edges.select("subject", "predicate", "object").distinct()
+    key = F.to_json(F.struct("subject", "predicate", "object"))
+    found = response.resolve_edges(kg, wanted.withColumns({"key": key, "qualifiers": F.lit(None).cast("string"), "sources": F.lit(None).cast("string")}))
+    return found.join(kg.edges.select("edge_idx", "subject", "predicate", "object"), "edge_idx").select("subject", "predicate", "object", "edge_idx")
+
+
+@query(f", ids as (select distinct object as id from e where subject = {_H}) select d.id, d.total as n from deg d join ids using (id)")
+def literature_counts(kg):
+    """Counts that the literature annotator gives nodes, from a table of counts."""
+    ids = adjacency.out_edges(kg, hub(kg)).select(F.col("object").alias("id"))
+    return node_counts_of(ids, kg.degrees.select("id", F.col("total_degree").alias("n")))
+
+
+@query("select id as node_id, total::varchar as value_json from deg")
+def node_metadata(kg):
+    """Facts on nodes kept by an enricher, saved and loaded again."""
+    store = NodeMetadata(kg.spark)
+    store.put_many("degree", kg.degrees.select(F.col("id").alias("node_id"), F.col("total_degree").cast("string").alias("value_json")))
+    path = f"{shared_dir(kg.spark)}/facts-{uuid4().hex}"
+    store.save(path)
+    return NodeMetadata.load(kg.spark, path).of("degree")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,48 +106,56 @@ def _min_information_content(config: dict) -> Column | None:
     return None if least is None else F.coalesce(F.col("information_content") >= F.lit(least), F.lit(False))
 
 
-def cooccurrence_annotator(fetch: Callable[[list[str]], tuple[dict, dict]]) -> Annotator:
-    """Attaches how often nodes are written about, and edges between those written about together.
+#: What attributes of counts and edges of pairs are called, and what counts if a request does not say (fixed values).
+COUNT_TYPE, PAIR_PREDICATE = "biolink:occurrences_in_literature", "biolink:occurs_together_in_literature_with"
+LEAST_PAIRS, LITERATURE = 50, "infores:literature_cooccurrence"
 
-    fetch gives counts of nodes, and of pairs (two ids with a tab between them).
-    """
+
+def cooccurrence_edges(nodes: DataFrame, pair_counts: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
+    """(subject, object, n) of pairs between given nodes (id), from a table (subject, object, n)."""
+    ids = nodes.select("id").distinct()
+    return pair_counts.filter(F.col("n") >= least).join(ids.withColumnRenamed("id", "subject"), "subject", "left_semi").join(ids.withColumnRenamed("id", "object"), "object", "left_semi")
+
+
+def node_counts_of(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, n) of given nodes (id), from a table (id, n)."""
+    return counts.select("id", "n").join(nodes.select("id").distinct(), "id", "left_semi")
+
+
+def cooccurrence_annotator(counts: DataFrame, pairs: DataFrame) -> Annotator:
+    """An annotator from tables of counts (id, n) and pairs (subject, object, n): a message's nodes get their counts as attributes, and edges join those written about together. Only rows of the message's nodes are read to the driver."""
 
     def make(config: dict) -> Callable[[dict, Any], None] | None:
-        own = config.get("literature_cooccurrence")
-        if own is None:
+        asked = config.get("literature_cooccurrence")
+        if asked is None:
             return None
-        if not isinstance(own, dict):
+        if not isinstance(asked, dict):
             raise ValueError("annotator_config['literature_cooccurrence'] must be an object")
-        least, with_pairs = int(own.get("min_cooccurrence", 1)), bool(own.get("include_pair_edges", True))
-        by = own.get("infores_id") or "infores:literature-cooccurrence"
-
-        def attribute(n: int) -> dict:
-            return {"attribute_type_id": "biolink:has_count", "value": n, "value_type_id": "linkml:Integer", "attribute_source": by}
+        source = asked.get("infores_id") or LITERATURE
 
         def annotate(response: dict, graph: Any) -> None:
-            kg = response["message"].get("knowledge_graph") or {}
-            nodes = kg.get("nodes") or {}
-            if not nodes:
+            own = response["message"].get("knowledge_graph") or {}
+            if not own.get("nodes"):
+                return
+            ids = counts.sparkSession.createDataFrame([(i,) for i in own["nodes"]], "id string")
+            described = lambda n: [{"attribute_type_id": COUNT_TYPE, "value": n, "value_type_id": "linkml:Integer", "attribute_source": source}]
+            for r in node_counts_of(ids, counts).collect():
+                node = own["nodes"][r["id"]]
+                node["attributes"] = [*(node.get("attributes") or []), *described(r["n"])]
+            if not asked.get("include_pair_edges", True):
                 return
-            counts, pairs = fetch(sorted(nodes))
-            for i, n in counts.items():
-                if i in nodes:
-                    nodes[i].setdefault("attributes", []).append(attribute(n))
-            for key, n in pairs.items() if with_pairs else ():
-                s, tab, o = str(key).partition("\t")
-                if tab and n >= least:
-                    edge = {"subject": s, "object": o, "predicate": "biolink:occurs_together_in_literature_with", "attributes": [attribute(n)]}
-                    kg.setdefault("edges", {})[f"litcoocc:{s}:{o}"] = edge | {"sources": [{"resource_id": by, "resource_role": "primary_knowledge_source"}]}
+            for r in cooccurrence_edges(ids, pairs, int(asked.get("min_cooccurrence", LEAST_PAIRS))).orderBy("subject", "object").collect():
+                edge = {"subject": r["subject"], "predicate": PAIR_PREDICATE, "object": r["object"], "attributes": described(r["n"]), "sources": [{"resource_id": source, "resource_role": "primary_knowledge_source"}]}
+                own.setdefault("edges", {})[f"litcoocc:{uuid4().hex[:12]}"] = edge
 
         return annotate
 
     return make
 
 
-def cooccurrence_edges(nodes: DataFrame, pair_counts: DataFrame, least: int = 1) -> DataFrame:
-    """(subject, object, n) of pairs between given nodes (id), from a table (subject, object, n)."""
-    ids = nodes.select("id").distinct()
-    return pair_counts.filter(F.col("n") >= least).join(ids.withColumnRenamed("id", "subject"), "subject", "left_semi").join(ids.withColumnRenamed("id", "object"), "object", "left_semi")
+def register_literature(counts: DataFrame, pairs: DataFrame) -> None:
+    """The built-in annotator, once its tables are known."""
+    register_annotator("literature_cooccurrence", cooccurrence_annotator(counts, pairs))
 
 
 def register_builtin() -> None:

@@ -110,7 +110,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.monotonically_increasing_id().alias("line"))
 
 
-def edges_of_lines(lines: DataFrame, normalized: bool = False) -> DataFrame:
+def edges_of_lines(lines: DataFrame, normalized: bool = False, qualifier_fields: frozenset[str] = normalize.QUALIFIER_FIELDS) -> DataFrame:
     """Edge records of lines (value); the first record that breaks the contract fails the job.
 
     normalized: the lines are graph records already and only checked.
@@ -121,7 +121,7 @@ def edges_of_lines(lines: DataFrame, normalized: bool = False) -> DataFrame:
             raw = {k: v for k, v in raw.items() if k != "_id"}
             e = raw | {"attributes": [normalize.attribute(a["attribute_type_id"], a["value"], a.get("original_attribute_name")) for a in raw["attributes"]]} if isinstance(raw.get("attributes"), list) else raw
         else:
-            e = normalize.edge(raw)
+            e = normalize.edge(raw, qualifier_fields)
         normalize.check_edge(e)
         return {"edge_id": e.get("id")} | {k: e[k] for k in ("subject", "predicate", "object", "qualifiers", "sources", "attributes")}
 

@@ -8,6 +8,7 @@ from typing import Any
 
 from weftgraph.operators.constraints import canonical_json, type_name
 
+#: Fields that are no attributes (fixed values).
 CORE_EDGE = frozenset("id category subject object predicate sources primary_knowledge_source aggregator_knowledge_source".split())
 CORE_NODE = frozenset("id name category".split())
 OWN_SOURCE = "infores:weftgraph"
@@ -24,6 +25,22 @@ QUALIFIER_FIELDS = frozenset(
 )
 
 
+def qualifier_fields(slot_children: dict[str, list[str]] | None = None, root: str = "qualifier") -> frozenset[str]:
+    """Fields that are qualifiers: all slots below root in a model (a slot's direct children, names with or without prefix, with blanks or underscores); the fixed ones if the model says nothing."""
+    plain = lambda name: name.rpartition(":")[2].replace(" ", "_")
+    children: dict[str, list[str]] = {}
+    for slot, below in (slot_children or {}).items():
+        children.setdefault(plain(slot), []).extend(map(plain, below))
+    found: set[str] = set()
+    todo = list(children.get(root, []))
+    while todo:
+        slot = todo.pop()
+        if slot not in found and slot != root:
+            found.add(slot)
+            todo += children.get(slot, [])
+    return frozenset(found) or QUALIFIER_FIELDS
+
+
 class SourceValidationError(ValueError):
     """A record that breaks the contract of a graph source."""
 
