@@ -27,25 +27,36 @@ SQL: dict[str, str] = {}
 
 
 def graph(spark: SparkSession, d: str) -> KnowledgeGraph:
-    return graph_of_tables(spark, spark.read.parquet(f"{d}/edges.parquet"), spark.read.parquet(f"{d}/nodes.parquet"))
+    kg = graph_of_tables(spark, spark.read.parquet(f"{d}/edges.parquet"), spark.read.parquet(f"{d}/nodes.parquet"))
+    kg.metadata["folder"] = d
+    return kg
+
+
+#: Ids that have been chosen, by application and folder: once for each table, not for each query.
+_chosen: dict[tuple, str] = {}
+
+
+def _once(kg: KnowledgeGraph, what: str, choose: Callable[[], DataFrame]) -> str:
+    key = (kg.spark.sparkContext.applicationId, kg.metadata.get("folder"), what)
+    if kg.metadata.get("folder") is None or key not in _chosen:
+        row = choose().first()  # one row comes to the driver
+        _chosen[key] = row[0] if row else ""
+    return _chosen[key]
 
 
 def hub(kg: KnowledgeGraph) -> str:
-    """The most frequent subject: one row comes to the driver."""
-    row = kg.edges.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "subject").first()
-    return row["subject"] if row else ""
+    """The most frequent subject."""
+    return _once(kg, "hub", lambda: kg.edges.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "subject"))
 
 
 def partner(kg: KnowledgeGraph, h: str) -> str:
     """The object that the hub has most edges to."""
-    row = kg.edges.filter(F.col("subject") == h).groupBy("object").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "object").first()
-    return row["object"] if row else ""
+    return _once(kg, f"partner {h}", lambda: kg.edges.filter(F.col("subject") == h).groupBy("object").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "object"))
 
 
 def tree_top(kg: KnowledgeGraph) -> str:
     """The node with most direct subclasses."""
-    row = kg.edges.filter(F.col("predicate") == B + "subclass_of").groupBy("object").agg(F.countDistinct("subject").alias("n")).orderBy(F.desc("n"), "object").first()
-    return row["object"] if row else ""
+    return _once(kg, "top", lambda: kg.edges.filter(F.col("predicate") == B + "subclass_of").groupBy("object").agg(F.countDistinct("subject").alias("n")).orderBy(F.desc("n"), "object"))
 
 
 _NOT_BLANK = " and ".join(f"trim({c}) <> ''" for c in ("subject", "predicate", "object"))
@@ -243,16 +254,8 @@ def edge_narrowing_equivalence(kg):
     return p.groupBy(F.col("n_n1").alias("n1")).agg(F.count(F.lit(1)).alias("n_paths"))
 
 
-@query(f"select s as n0, edge_idx from {_m(None, None)} m where s = o and s in (select subject from e group by subject order by count(*) desc, subject limit 200) and not inv")
-def self_loops(kg):
-    """At the 200 most frequent subjects; all_self_loops has all."""
-    top = [r[0] for r in kg.edges.groupBy("subject").count().orderBy(F.desc("count"), "subject").limit(200).collect()]
-    p = lookup(kg, {"nodes": {"n0": {"ids": top}}, "edges": {"e0": {"subject": "n0", "object": "n0"}}}, subclass=False).paths
-    return p.filter(~F.col("v_e0")).select(F.col("n_n0").alias("n0"), F.col("e_e0").alias("edge_idx"))
-
-
 @query("select subject as n0, edge_idx from e where subject = object")
-def all_self_loops(kg):
+def self_loops(kg):
     p = lookup(kg, {"nodes": {"n0": {}}, "edges": {"e0": {"subject": "n0", "object": "n0"}}}, subclass=False, allow_full_scan=True).paths
     return p.filter(~F.col("v_e0")).select(F.col("n_n0").alias("n0"), F.col("e_e0").alias("edge_idx"))
 

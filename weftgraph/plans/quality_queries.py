@@ -287,13 +287,63 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(_table(spark, d, "edge_files")).select("feed", "file_id", "change_kind", "old_path", "new_path")
 
 
-def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    """The raw records of all files in one table, scalars only (lists and the rest as JSON text)."""
+def _unified(spark: SparkSession, d: str) -> DataFrame:
     lines = _table(spark, d, "edge_files")
-    t = drift.unify(lines, drift.canonical_names(drift.changes(lines)), EDGE_COLUMNS, EDGE_DDL)
-    return t.withColumns({c: F.to_json(c) for c in ("category", "sources", "publications", "rest")})
+    return drift.unify(lines, drift.canonical_names(drift.changes(lines)), EDGE_COLUMNS, EDGE_DDL)
+
+
+def _with_flat_sources(t: DataFrame) -> DataFrame:
+    """Records without sources get them from the flat fields of older files, which then leave the rest."""
+    first, more = F.col("rest")["primary_knowledge_source"], F.col("rest")["aggregator_knowledge_source"]
+    texts = F.coalesce(F.from_json(more, "array<string>"), F.array_compact(F.array(F.from_json(F.concat(F.lit("["), more, F.lit("]")), "array<string>")[0])))
+    source = lambda i, role, up: F.struct(i.alias("resource_id"), F.lit(role).alias("resource_role"), up.alias("upstream_resource_ids"))
+    name = F.from_json(F.concat(F.lit("["), first, F.lit("]")), "array<string>")[0]
+    # Aggregators are given with the nearest to the user first: each draws from the one behind it.
+    chain = F.reverse(F.coalesce(texts, F.array().cast("array<string>")))
+    of = F.transform(chain, lambda x, i: source(x, "aggregator_knowledge_source", F.array(F.when(i == 0, name).otherwise(F.get(chain, i - 1)))))
+    flat = F.col("sources").isNull() & name.isNotNull() & first.startswith('"')
+    left = F.map_filter("rest", lambda k, v: ~k.isin("primary_knowledge_source", "aggregator_knowledge_source"))
+    whole = F.concat(F.array(source(name, "primary_knowledge_source", F.array().cast("array<string>"))), of)
+    return t.withColumns({"sources": F.when(flat, whole).otherwise(F.col("sources")), "rest": F.when(flat, F.when(F.size(left) > 0, left)).otherwise(F.col("rest"))})
 
 
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    """The raw records of all files in one table, scalars only (lists and the rest as JSON text)."""
+    return _with_flat_sources(_unified(spark, d)).withColumns({c: F.to_json(c) for c in ("category", "sources", "publications", "rest")})
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """How many fields of each line that have a value are held by the unified table, in a column or in the rest."""
+    t = _unified(spark, d)
+    rest = F.coalesce(F.map_keys("rest"), F.array().cast("array<string>"))
+    held = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in EDGE_COLUMNS]))
+    return t.select("line_id", F.size(F.array_union(held, rest)).alias("n_values"))
+
+
+_JSON_LINES = "json_valid(payload) and json_type(payload) = 'OBJECT'"
+_P6_KEPT = f"select line_id, cast(coalesce(len(list_filter(json_keys(payload), lambda k: json_type(payload, '$.\"' || k || '\"') <> 'NULL')), 0) as int) as n_values from (select * from edge_files where {_JSON_LINES})"
+_P6 = f"""with l as (select distinct feed, file_no, file_id, payload from edge_files where {_JSON_LINES}),
+t as (select feed, file_no, file_id, regexp_replace(regexp_replace(x.fullkey, '\[[0-9]+\]', '', 'g'), '^\$\.', '') as p, x.value as v,
+  case x.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as ty
+  from l, json_tree(l.payload) x where x.fullkey <> '$' and not x.fullkey like '%]'),
+s as (select feed, file_id, p, coalesce(list_sort(list(distinct ty) filter (ty is not null)), []) as ty from t group by all),
+f as (select feed, file_id, lag(file_id) over (partition by feed order by file_no, file_id) as prev from (select distinct feed, file_no, file_id from l)),
+pr as (select * from f where prev is not null),
+o as (select pr.feed, pr.file_id, s.p, s.ty from pr join s on s.feed = pr.feed and s.file_id = pr.prev),
+n as (select pr.feed, pr.file_id, s.p, s.ty from pr join s on s.feed = pr.feed and s.file_id = pr.file_id),
+u as (select feed, file_id, p, o.ty as oty, n.ty as nty from o full join n using (feed, file_id, p)),
+bad as (select feed, file_id, p from u where oty is null or nty is null or oty <> nty),
+e as (select * from u where not exists (select 1 from bad where bad.feed = u.feed and bad.file_id = u.file_id and starts_with(u.p, bad.p || '.'))),
+vals as (select distinct feed, file_id, p, v::varchar as v from t where ty is not null),
+cand as (select g.feed, g.file_id, g.p as op, c.p as np from e g join e c on g.feed = c.feed and g.file_id = c.file_id and g.nty is null and c.oty is null and len(g.oty) > 0 and g.oty = c.nty
+  and regexp_replace(g.p, '[^.]*$', '') = regexp_replace(c.p, '[^.]*$', '')),
+ren as (select c.feed, c.file_id, c.op, c.np from cand c join pr on pr.feed = c.feed and pr.file_id = c.file_id join vals v on v.feed = c.feed and v.file_id = c.file_id and v.p = c.np
+  left join vals w on w.feed = c.feed and w.file_id = pr.prev and w.p = c.op and w.v = v.v group by all having count(w.v) * 2 >= count(*))
+select feed, file_id, 'type_changed' as change_kind, p as old_path, p as new_path from e where len(oty) > 0 and len(nty) > 0 and oty <> nty
+union all select feed, file_id, 'renamed', op, np from ren
+union all select feed, file_id, 'removed', p, '' from e where nty is null and not exists (select 1 from ren where ren.feed = e.feed and ren.file_id = e.file_id and ren.op = e.p)
+union all select feed, file_id, 'added', '', p from e where oty is null and not exists (select 1 from ren where ren.feed = e.feed and ren.file_id = e.file_id and ren.np = e.p)"""
+
 # 7 ---------------------------------------------------------------------------
 _KEYS, _VALUES = ["subject", "predicate", "object"], ["object_aspect_qualifier"]
 
@@ -315,8 +365,8 @@ _P7 = f"""{_STATEMENTS}, w as (select edge_row, min(edge_row) over (partition by
 select a as row_a, edge_row as row_b from w where a <> edge_row"""
 _P7_STATEMENTS = f"{_STATEMENTS} select min(edge_row) as edge_row, count(*) as n_copies from p where s <> '' and p <> '' and o <> '' group by s, p, o, q"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_tables, p3_all_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p7_found, p7_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p2_all_descendants, p3_found, p3_tables, p3_all_tables, p4_found, p5_found, p5_modes, p5_medians, p6_found, p6_unified, p6_kept, p7_found, p7_statements)}
 SQL = {
     "p1_found": _P1, "p1_report": f"select field_name, period, reason, count(*) as n_refs from ({_P1}) group by all", "p2_found": _P2_SQL, "p2_paths": _P2_PATHS, "p2_descendants": _P2_DESC, "p2_all_descendants": _P2_ALL_DESC,
-    "p3_found": _P3, "p3_tables": _P3_TABLES, "p3_all_tables": _P3_ALL_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
+    "p3_found": _P3, "p3_tables": _P3_TABLES, "p3_all_tables": _P3_ALL_TABLES, "p4_found": _P4, "p5_found": _P5, "p5_modes": _P5_MODES, "p5_medians": _P5_MEDIANS, "p6_found": _P6, "p6_kept": _P6_KEPT, "p7_found": _P7, "p7_statements": _P7_STATEMENTS,
 }
