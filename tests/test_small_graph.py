@@ -341,3 +341,15 @@ def test_forward_and_reverse_lists_agree(kg):
     out = kg.edges.select("subject", "predicate", "object")
     back = adjacency.in_edges(kg, T2D).select("subject", "predicate", "object")
     assert back.exceptAll(out).count() == 0 and back.count() == 7 and GLU in {r["object"] for r in out.collect()}
+
+
+def test_paths_of_a_node_to_itself_and_empty_filters(kg):
+    assert paths.paths3(kg, MET, MET).count() == 0 and paths.paths3_nodes(kg, MET, MET).count() == 0 and paths.paths_upto(kg, MET, MET, 3).count() == 0
+    assert paths.paths3(kg, MET, HYP, allowed=[], excluded=[]).count() == paths.paths3(kg, MET, HYP).count() > 0
+    assert {r["n_hops"] for r in paths.paths_upto(kg, MET, HYP, 3).collect()} == {2, 3}
+
+
+def test_answers_of_too_many_paths_are_refused(kg):
+    with pytest.raises(BadQuery) as e:
+        response.assemble(lookup(kg, AFFECTS), most_paths=1)
+    assert e.value.status == 413

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from small_graph import raw_edges, raw_nodes
 
 from weftgraph.graph import KnowledgeGraph
@@ -13,6 +14,7 @@ from weftgraph.operators.lookup import lookup
 from weftgraph.plans import planner
 from weftgraph.plans.ir import parse
 from weftgraph.plans.rewrite import expand_predicates
+from weftgraph.sources import ingest, tables
 from weftgraph.sources import normalize as N
 from weftgraph.sources.ingest import edges_of_lines, from_jsonl, nodes_of_lines, source_chain, triples_of_lines
 from weftgraph.sources.tables import ONTOLOGY
@@ -162,3 +164,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["paths", g, MET, HYP, "--with-properties", "--output", str(tmp_path / "p")]) == 0
     assert '"num_paths": 4' in capsys.readouterr().out
     assert main(["diagnose", g, MET, HYP]) == 0 and '"n_paths": 4' in capsys.readouterr().out
+
+
+def test_documents_of_a_store(spark):
+    store = {"edges": [{"_id": i} | N.edge(e) for i, e in enumerate(raw_edges())], "nodes": [{"_id": 1} | N.node(n) for n in raw_nodes()]}
+    bare = lambda a: {k: a[k] for k in ("attribute_type_id", "original_attribute_name")} | {"value": json.loads(a["value_json"])}
+    store = {k: [d | {"attributes": [bare(a) for a in d["attributes"]]} for d in v] for k, v in store.items()}
+    source = ingest.Documents(spark, lambda name: ["0", "1", "2"], lambda name, part: (d for i, d in enumerate(store[name]) if i % 3 == int(part)))
+    kg = ingest.from_source(source, ONTOLOGY)
+    assert kg.edges.count() == 20 and kg.nodes.count() == 11 and {r["edge_id"] for r in kg.edges.collect()} == {f"edge{i}" for i in range(1, 21)}
+    assert ingest.Documents(spark, lambda name: [], lambda name, part: iter(())).edges().count() == 0
+
+
+def test_qualifier_fields_of_a_model():
+    model = {"qualifier": ["aspect qualifier", "biolink:stage_qualifier"], "aspect qualifier": ["my own qualifier", "qualifier"], "other": ["x"]}
+    assert N.qualifier_fields(model) == {"aspect_qualifier", "stage_qualifier", "my_own_qualifier"} and N.qualifier_fields() == N.QUALIFIER_FIELDS
+    assert N.qualifiers({"my_own_qualifier": 3, "stage_qualifier": "a"}, N.qualifier_fields(model)) == [
+        {"qualifier_type_id": "biolink:my_own_qualifier", "qualifier_value": "3"}, {"qualifier_type_id": "biolink:stage_qualifier", "qualifier_value": "a"},
+    ]
+
+
+def test_shadows_of_text_columns(spark):
+    texts = ['say "hi"', "a\\b", " 1.5 ", "1_000", "1d", "0x1", "nan", "-Infinity", "", "it's", 'both " and \'', "1e400"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tables.json_text(F.col("t")), tables.number_of(F.col("t")), tables._quoted(F.col("t"))).collect()
+    for i, j, n, q in got:
+        want = N.attribute("x", texts[i])
+        assert json.loads(j) == texts[i] and q == repr(texts[i]) and (n == want["value_num"] or (n is not None and n != n and want["value_num"] != want["value_num"])), texts[i]
+
+
+def test_loaded_metadata_and_stages(spark, tmp_path):
+    from weftgraph.graph import KnowledgeGraph
+    from weftgraph.operators.response import Stages
+
+    KnowledgeGraph.from_rows(spark, [("a", "A", ["c"], [], None)], []).save(str(tmp_path / "g"))
+    (tmp_path / "m.json").write_text('{"shown": [1]}')
+    assert KnowledgeGraph.load(spark, str(tmp_path / "g"), str(tmp_path / "m.json")).metadata == {"shown": [1]} and KnowledgeGraph.load(spark, str(tmp_path / "g")).metadata == {}
+    s = Stages()
+    s.run("outer", lambda: s.run("inner", lambda: s.fact("n", 3)), k=1)
+    assert s.tree[0]["facts"] == {"k": 1} and s.tree[0]["stages"][0]["facts"] == {"n": 3} and [x["message"].split(":")[0] for x in s.logs] == ["outer / inner", "outer"]

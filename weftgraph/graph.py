@@ -78,10 +78,11 @@ class KnowledgeGraph:
             self.edges.write.mode("overwrite").bucketBy(buckets, end).sortBy(end, other, "predicate").saveAsTable(f"{name}_by_{end}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> KnowledgeGraph:
+    def load(spark: SparkSession, path: str, metadata: str | None = None) -> KnowledgeGraph:
+        """What save() wrote; metadata: a JSON file to be shown in place of the graph's own metadata, as it is."""
         info = spark.read.schema("metadata string, ontology string").json(f"{path}/info").first()
         read = lambda t: spark.read.parquet(f"{path}/{t}")
-        return KnowledgeGraph(spark, read("nodes"), read("edges"), read("edge_attributes"), _onto_of(json.loads(info["ontology"])), json.loads(info["metadata"]))
+        return KnowledgeGraph(spark, read("nodes"), read("edges"), read("edge_attributes"), _onto_of(json.loads(info["ontology"])), json.loads(spark.read.text(metadata, wholetext=True).first()[0] if metadata else info["metadata"]))
 
     @staticmethod
     def from_rows(spark: SparkSession, nodes: list, edges: list, edge_attributes: list = (), ontology: Ontology | None = None) -> KnowledgeGraph:

@@ -61,6 +61,14 @@ class LookupResult:
         keys = [self.bound(k).alias(f"k_{k}") for k in self.key_nodes]
         return self.paths.select("result_id", *keys).groupBy("result_id", *[f"k_{k}" for k in self.key_nodes]).agg(F.count(F.lit(1)).alias("n_paths"))
 
+    def first_results(self, n: int) -> DataFrame:
+        """The first n results in the order that messages have them."""
+        return self.results.orderBy("result_id").limit(n)
+
+    def widest(self, node: str, k: int = 10) -> DataFrame:
+        """(id, n_paths): the k bindings of a node that most paths go through, which cost most."""
+        return self.paths.groupBy(F.col(f"n_{node}").alias("id")).agg(F.count(F.lit(1)).alias("n_paths")).orderBy(F.desc("n_paths"), "id").limit(k)
+
     @property
     def node_bindings(self) -> DataFrame:
         one = F.explode(F.array(*[F.struct(F.lit(k).alias("qnode"), self.bound(k).alias("id")) for k in self.shown]))

@@ -60,6 +60,34 @@ def paths3_nodes(kg: KnowledgeGraph, start: str, end: str, limit: int = 0) -> Da
     return out.orderBy("n1", "n2").limit(limit) if limit else out
 
 
+def paths_upto(kg: KnowledgeGraph, start: str, end: str, most: int, allowed: list[str] | None = None) -> DataFrame:
+    """(n_hops, nodes, edges): directed paths of at most `most` edges from start to end, no node twice; parallel edges make paths of their own.
+
+    What cannot reach end in the hops that are left is pruned before each join. A node
+    has no paths to itself.
+    """
+    edges = kg.edges.select("subject", "predicate", "object", "edge_idx")
+    if allowed:
+        edges = edges.filter(F.col("predicate").isin(list(allowed)))
+    if start == end:
+        edges = edges.limit(0)
+    links = edges.select(F.col("subject").alias("last"), F.col("object").alias("to"), "edge_idx")
+    # near[k]: nodes from which end is k hops away or less.
+    near = [kg.spark.createDataFrame([(end,)], "to string")]
+    for _ in range(most):
+        near.append(near[-1].union(links.join(near[-1], "to", "left_semi").select(F.col("last").alias("to"))).distinct())
+    found = None
+    front = links.filter(F.col("last") == start).select(F.array("last", "to").alias("nodes"), F.array("edge_idx").alias("edges"), F.col("to").alias("last"))
+    for hop in range(1, most + 1):
+        if hop > 1:
+            front = front.join(links, "last").filter(~F.array_contains("nodes", F.col("to")))
+            front = front.select(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge_idx")).alias("edges"), F.col("to").alias("last"))
+        done = front.filter(F.col("last") == end).select(F.lit(hop).alias("n_hops"), "nodes", "edges")
+        found = done if found is None else found.unionByName(done)
+        front = front.filter(~F.col("last").isin(start, end)).join(near[max(most - hop, 0)].withColumnRenamed("to", "last"), "last", "left_semi")
+    return found
+
+
 def mechanistic_paths(kg: KnowledgeGraph, start: str, end: str) -> DataFrame:
     return paths3(kg, start, end, allowed=MECHANISTIC)
 

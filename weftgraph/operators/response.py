@@ -25,17 +25,30 @@ MOST_PATHS = 1_000_000
 
 
 class Stages:
-    """Times of the stages of a request, as log entries."""
+    """Times of the stages of a request, stages within stages, as log entries and as a tree."""
 
     def __init__(self) -> None:
         self.logs: list[dict] = []
-
-    def run(self, name: str, f: Callable[[], Any]) -> Any:
+        self.tree: list[dict] = []
+        self._open: list[dict] = []
+
+    def run(self, name: str, f: Callable[[], Any], **facts: Any) -> Any:
+        """f() as a stage of the one that is running; facts go with it."""
+        stage = {"name": name, "seconds": None, "facts": facts, "stages": []}
+        (self._open[-1]["stages"] if self._open else self.tree).append(stage)
+        self._open.append(stage)
         began = time.perf_counter()
         try:
             return f()
         finally:
-            self.note("INFO", f"{name}: {time.perf_counter() - began:.3f} s", "StageTime")
+            stage["seconds"] = round(time.perf_counter() - began, 3)
+            self.note("INFO", f"{' / '.join(s['name'] for s in self._open)}: {stage['seconds']:.3f} s", "StageTime")
+            self._open.pop()
+
+    def fact(self, name: str, value: Any) -> None:
+        """Something counted in the stage that is running."""
+        if self._open:
+            self._open[-1]["facts"][name] = value
 
     def note(self, level: str, message: str, code: str | None = None) -> None:
         self.logs.append({"timestamp": datetime.datetime.now(datetime.timezone.utc).isoformat(), "level": level, "code": code, "message": message})
@@ -58,15 +71,16 @@ def _derived(edge: dict, aux: str) -> dict:
     }
 
 
-def assemble(r: LookupResult, query_graph: dict | None = None, compat: bool = False, most_paths: int = MOST_PATHS) -> dict:
+def assemble(r: LookupResult, query_graph: dict | None = None, compat: bool = False, most_paths: int = MOST_PATHS, stages: Stages | None = None) -> dict:
     """The whole answer as one message on the driver, for answers of a size that is sent to someone.
 
     The pattern is run once; its paths are kept and counted. Above most_paths the answer is
     refused, whole: it is read from the tables of LookupResult instead.
     """
-    kg = r.kg
-    r = replace(r, paths=cut(r.paths))
-    if (n := r.paths.count()) > most_paths:
+    kg, stages = r.kg, stages or Stages()
+    r = replace(r, paths=stages.run("match", lambda: cut(r.paths)))
+    stages.fact("paths", n := r.paths.count())
+    if n > most_paths:
         raise BadQuery(f"the answer has {n} paths; one message holds at most {most_paths}", 413)
     nodes = {}
     for n in r.kg_nodes.collect():
@@ -169,8 +183,10 @@ def query(kg: KnowledgeGraph, body: dict) -> dict:
         return stages.run("enrich", lambda: enrich(kg, dict(body)))
     q = body["message"]["query_graph"]
     found = stages.run("plan", lambda: lookup(kg, q, p.get("subclass", True), p.get("subclass_depth", 1), p.get("filter_config"), p.get("dehydrated", False)))
-    out = stages.run("answer", lambda: assemble(found, q))
+    out = stages.run("answer", lambda: assemble(found, q, stages=stages))
     out["logs"] += stages.logs
+    if str(body.get("log_level") or "").upper() == "DEBUG":
+        out["logs"].append({"timestamp": stages.logs[-1]["timestamp"], "level": "DEBUG", "code": "Profile", "message": json.dumps(stages.tree)})
     return annotate(out, kg, p.get("annotator_config"))
 
 

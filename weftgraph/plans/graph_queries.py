@@ -818,3 +818,17 @@ def node_metadata(kg):
     path = f"{shared_dir(kg.spark)}/facts-{uuid4().hex}"
     store.save(path)
     return NodeMetadata.load(kg.spark, path).of("degree")
+
+
+@query(f""", w as (select [subject, object] as nodes, object as last, 1 as n from e where subject = {_H} union all
+  select list_append(w.nodes, e.object), e.object, n + 1 from w join e on e.subject = w.last where n < 3 and w.last <> {_MATE} and not list_contains(w.nodes, e.object))
+select n as n_hops, count(*) as n_paths from w where last = {_MATE} and {_MATE} <> {_H} and nodes[1] <> nodes[2] group by n""")
+def paths_upto_three(kg):
+    """Paths of variable length, counted by their edges."""
+    return paths.paths_upto(kg, *_far(kg), 3).groupBy("n_hops").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+@query(f"select a.o as id, count(*) as n_paths from {_m(None, None)} a join {_CAUSE} b on b.s = a.o where a.s = {_H} group by 1 order by 2 desc, 1 limit 10")
+def widest_nodes(kg):
+    """The middle nodes of a pattern that most of its paths go through."""
+    return _chain(kg, None, "causes").widest("n1")
