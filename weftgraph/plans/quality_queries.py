@@ -323,7 +323,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
 _JSON_LINES = "json_valid(payload) and json_type(payload) = 'OBJECT'"
 _P6_KEPT = f"select line_id, cast(coalesce(len(list_filter(json_keys(payload), lambda k: json_type(payload, '$.\"' || k || '\"') <> 'NULL')), 0) as int) as n_values from (select * from edge_files where {_JSON_LINES})"
 _P6 = f"""with l as (select distinct feed, file_no, file_id, payload from edge_files where {_JSON_LINES}),
-t as (select feed, file_no, file_id, regexp_replace(regexp_replace(x.fullkey, '\[[0-9]+\]', '', 'g'), '^\$\.', '') as p, x.value as v,
+t as (select feed, file_no, file_id, regexp_replace(regexp_replace(x.fullkey, '\\[[0-9]+\\]', '', 'g'), '^\\$\\.', '') as p, x.value as v,
   case x.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as ty
   from l, json_tree(l.payload) x where x.fullkey <> '$' and not x.fullkey like '%]'),
 s as (select feed, file_id, p, coalesce(list_sort(list(distinct ty) filter (ty is not null)), []) as ty from t group by all),
